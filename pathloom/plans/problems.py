@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.operators import keyed, near, sessions
+from pathloom.operators import faults, keyed, near, sessions
 from pathloom.operators.ordered import micros
 
 #: Datetimes from the first up to but not including the second are plausible.
@@ -53,6 +53,14 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_sessions(spark, folder).select("uid", "start_s").distinct()
 
 
+def p6_faults(spark: SparkSession, folder: str) -> DataFrame:
+    return faults.faults(table(spark, folder, "privacy_toy")).select("ping_id", "uid", "kind")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_faults(spark, folder).select("ping_id").distinct()
+
+
 _DATED_SQL = "FROM privacy_toy WHERE uid IS NOT NULL AND datetime >= TIMESTAMP '2005-01-01' AND datetime < TIMESTAMP '2036-01-01'"
 _SESSIONS_SQL = f"""
 WITH p AS (SELECT DISTINCT uid, datetime, lat, lng {_DATED_SQL}),
@@ -73,7 +81,7 @@ inside AS (SELECT place_id, ping_id FROM p JOIN edges ON x >= least(x0, x1) AND
 found AS (SELECT place_id, ping_id, round(d, 3) AS distance_m FROM near WHERE d <= radius_m UNION ALL SELECT place_id, ping_id, NULL FROM inside)
 """
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_key_summary, p2_path_measures, p4_found, p4_near_places, p5_found, p5_sessions)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_key_summary, p2_path_measures, p4_found, p4_near_places, p5_found, p5_sessions, p6_found, p6_faults)}
 
 ORACLE = {
     "p2_found": "SELECT uid FROM privacy_toy WHERE uid IS NOT NULL GROUP BY uid HAVING count(*) >= 0.04 * (SELECT count(*) FROM privacy_toy)",
