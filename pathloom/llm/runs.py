@@ -40,21 +40,22 @@ def collapse_runs(events: DataFrame, key: str = "uid", time: str = "datetime", l
         end = np.r_[at[1:], len(us)] - 1
         first = starts[at]
         last = np.r_[first[1:], True]
+        hot = column(t, "chunk")[at] >= 0
         yield pa.record_batch(
-            [t.column("k").take(pa.array(at)).combine_chunks(), us[at], us[end], np.bincount(run).astype(np.int64), y[at], x[at], y[end], x[end], (column(t, "chunk")[at] >= 0) & (first | last)],
-            names=["k", "start_us", "end_us", "n", "y0", "x0", "y1", "x1", "edge"],
+            [t.column("k").take(pa.array(at)).combine_chunks(), us[at], us[end], np.bincount(run).astype(np.int64), y[at], x[at], y[end], x[end], hot & first, hot & last],
+            names=["k", "start_us", "end_us", "n", "y0", "x0", "y1", "x1", "first", "last"],
         )
 
     kind = rows.schema["k"].dataType.simpleString()
-    parts = ordered_map(rows, "k", ["us", "y", "x"], kernel, f"k {kind}, start_us long, end_us long, n long, y0 double, x0 double, y1 double, x1 double, edge boolean")
+    parts = ordered_map(rows, "k", ["us", "y", "x"], kernel, f"k {kind}, start_us long, end_us long, n long, y0 double, x0 double, y1 double, x1 double, first boolean, last boolean")
     if cuts:
         # What touches a cut: at most two rows per chunk of the hot keys.
         parts = written(parts, "runs")
         w = Window.partitionBy("k").orderBy("start_us", "end_us", "y0", "x0")
-        joined = (F.col("start_us") - F.lag("end_us").over(w) <= gap) & (haversine_km(F.lag("y1").over(w), F.lag("x1").over(w), F.col("y0"), F.col("x0")) <= near_km)
+        joined = F.col("first") & F.lag("last").over(w) & (F.col("start_us") - F.lag("end_us").over(w) <= gap) & (haversine_km(F.lag("y1").over(w), F.lag("x1").over(w), F.col("y0"), F.col("x0")) <= near_km)
         run = F.sum((~F.coalesce(joined, F.lit(False))).cast("long")).over(w)
         head = F.min(F.struct("start_us", "end_us", "y0", "x0"))
-        edge = parts.where("edge").withColumn("run", run).groupBy("k", "run").agg(head.alias("h"), F.max("end_us").alias("end_us"), F.sum("n").alias("n"))
+        edge = parts.where("first or last").withColumn("run", run).groupBy("k", "run").agg(head.alias("h"), F.max("end_us").alias("end_us"), F.sum("n").alias("n"))
         names = ["k", "start_us", "end_us", "n", "y0", "x0"]
-        parts = parts.where("not edge").select(names).unionByName(edge.select("k", "h.start_us", "end_us", "n", "h.y0", "h.x0"))
+        parts = parts.where("not (first or last)").select(names).unionByName(edge.select("k", "h.start_us", "end_us", "n", "h.y0", "h.x0"))
     return parts.select(F.col("k").alias(key), "start_us", "end_us", ((F.col("end_us") - F.col("start_us")) / F.lit(1e6)).alias("duration_s"), "n", F.col("y0").alias("lat"), F.col("x0").alias("lng"))
