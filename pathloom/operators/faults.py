@@ -221,8 +221,8 @@ def flags(us, y, x, starts, speed, share, lim: Limits) -> tuple[np.ndarray, np.n
 def quiet_cuts(rows: DataFrame, cuts: Cuts) -> Cuts:
     """``cuts`` moved to pings amid steady movement, where no spike, stuck run or stay can reach across.
 
-    Such a ping has nine steps of like speed around it, and is more than 0.45 km from pings before and after it that are
-    together less than 20 minutes apart. Of each chunk the first is taken; a chunk without any joins the one before.
+    Such a ping has nine steps of like speed around it, and is more than 0.45 km from five pings in a row before and after it
+    that are together less than 20 minutes apart. Of each chunk the first is taken; a chunk without any joins the one before.
     """
     if not cuts:
         return cuts
@@ -245,7 +245,7 @@ def quiet_cuts(rows: DataFrame, cuts: Cuts) -> Cuts:
         ok = np.zeros(len(at), bool)
         for o in (5, 10, 20, 40, 80, 160, 320):
             good = np.ones(len(at), bool)
-            for p in (o, o + 1):
+            for p in range(o, o + 5):  # more than spikes come together
                 a, b = np.maximum(at - p, 0), np.minimum(at + p, n - 1)
                 good &= (at - p >= 0) & (at + p < n) & (group[a] == group[at]) & (group[b] == group[at]) & (us[b] - us[a] < 1_200_000_000)
                 good &= (haversine_np(y[a], x[a], y[at], x[at]) > 0.45) & (haversine_np(y[b], x[b], y[at], x[at]) > 0.45)

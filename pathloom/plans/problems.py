@@ -5,17 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.operators import faults, keyed, near, sessions
+from pathloom.operators import faults, keyed, near, sessions, trips
 from pathloom.operators.ordered import micros
+from pathloom.session import table
 
 #: Datetimes from the first up to but not including the second are plausible.
 DATED = ("2005-01-01", "2036-01-01")
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
 def dated_pings(spark: SparkSession, folder: str) -> DataFrame:
     t = F.col("datetime")
     return table(spark, folder, "privacy_toy").where(F.col("uid").isNotNull() & (t >= F.lit(DATED[0]).cast("timestamp")) & (t < F.lit(DATED[1]).cast("timestamp")))
@@ -35,6 +32,14 @@ def p2_path_measures(spark: SparkSession, folder: str) -> DataFrame:
     return m.select("uid", "n", F.round("path_km", 4).alias("path_km"), F.round("longest_jump_km", 4).alias("longest_jump_km"), F.round("longest_wait_s", 4).alias("longest_wait_s"))
 
 
+def p3_stops_and_trips(spark: SparkSession, folder: str) -> DataFrame:
+    return trips.stops_and_trips(table(spark, folder, "privacy_toy")).select("kind", "uid", F.floor(F.col("start_us") / 1e6).alias("start_s"), F.floor(F.col("end_us") / 1e6).alias("end_s"), "duration_s", "n", "distance_km", "lat", "lng")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_stops_and_trips(spark, folder).select("kind", "uid", "start_s").distinct()
+
+
 def p4_near_places(spark: SparkSession, folder: str) -> DataFrame:
     found = near.near_places(table(spark, folder, "privacy_toy"), table(spark, folder, "places"))
     return found.select("place_id", "ping_id", F.round("distance_m", 3).alias("distance_m")).distinct()
@@ -81,7 +86,7 @@ inside AS (SELECT place_id, ping_id FROM p JOIN edges ON x >= least(x0, x1) AND
 found AS (SELECT place_id, ping_id, round(d, 3) AS distance_m FROM near WHERE d <= radius_m UNION ALL SELECT place_id, ping_id, NULL FROM inside)
 """
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_key_summary, p2_path_measures, p4_found, p4_near_places, p5_found, p5_sessions, p6_found, p6_faults)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_key_summary, p2_path_measures, p3_found, p3_stops_and_trips, p4_found, p4_near_places, p5_found, p5_sessions, p6_found, p6_faults)}
 
 ORACLE = {
     "p2_found": "SELECT uid FROM privacy_toy WHERE uid IS NOT NULL GROUP BY uid HAVING count(*) >= 0.04 * (SELECT count(*) FROM privacy_toy)",

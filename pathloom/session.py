@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +37,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes the package importable in Python workers, wherever they start. Once per context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_pathloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="pathloom-zip-")) / "pathloom.zip"
+    atexit.register(shutil.rmtree, target.parent, True)
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._pathloom_shipped = True
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the folder, with the package at hand in the workers."""
+    ship(spark)
+    return spark.read.parquet(f"{folder}/{name}.parquet")
