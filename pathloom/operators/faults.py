@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.geo import haversine_np
-from pathloom.operators.ordered import Cuts, changed, column, drop_copies, find_cuts, micros, whole_groups
+from pathloom.operators.ordered import Cuts, changed, column, find_cuts, micros, ordered_map, whole_groups
 
 DAY_US = 86_400_000_000
 
@@ -226,7 +226,7 @@ def quiet_cuts(rows: DataFrame, cuts: Cuts) -> Cuts:
     """
     if not cuts:
         return cuts
-    hot = cuts.chunk(rows.where(F.col("k").isin(cuts.keys())), "us")
+    hot = cuts.spread(rows.where(F.col("k").isin(cuts.keys())), "us")
 
     def kernel(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = starts.copy()
@@ -255,24 +255,10 @@ def quiet_cuts(rows: DataFrame, cuts: Cuts) -> Cuts:
         yield pa.record_batch([t.column("k").take(pa.array(at)).combine_chunks(), t.column("chunk").take(pa.array(at)).combine_chunks(), us[at]], names=["k", "chunk", "us"])
 
     kind = rows.schema["k"].dataType.simpleString()
-    from pathloom.operators.ordered import ordered_map
-
-    found: dict = {}
-    for r in ordered_map(hot, "k", ["us", "y", "x"], kernel, f"k {kind}, chunk int, us long").collect():  # at most one row per chunk
-        found.setdefault(r[0], {})[r[1]] = r[2]
-    sync = {}
-    for k in cuts.keys():
-        at, own, before, current = [], [], [], 0
-        for c in range(64 * cuts.m[k]):
-            before.append(current)
-            if c and c in found.get(k, {}):
-                current = c
-                at.append(found[k][c])
-            else:
-                at.append(2**62)
-            own.append(current)
-        sync[k] = (at, own, before)
-    return dataclasses.replace(cuts, sync=sync)
+    found: dict = {k: [] for k in cuts.keys()}
+    for r in ordered_map(hot, "k", ["us", "y", "x"], kernel, f"k {kind}, chunk int, us long").where("chunk > 0").collect():  # at most one row per chunk
+        found[r[0]].append(r[2])
+    return Cuts(cuts.key, {k: sorted(v) for k, v in found.items()})
 
 
 def scan(pings: DataFrame, kernel: Callable, schema: str, lim: Limits, key: str, point_id: str, lat: str, lng: str, time: str) -> tuple[DataFrame, Cuts]:
@@ -286,7 +272,7 @@ def scan(pings: DataFrame, kernel: Callable, schema: str, lim: Limits, key: str,
     cuts = quiet_cuts(rows.select("k", "us", "y", "x"), find_cuts(rows.select("k", "us"), "k", "us", pings.count()))
     keys = ["k", "chunk"] if cuts else ["k"]
     # The filter is what the join below would infer; stated here, both passes have the same plan and so share the exchange.
-    spread = cuts.chunk(drop_copies(rows, ["k", "us", "y", "x", "id"]), "us").where(" and ".join(f"{c} is not null" for c in keys)).repartition(*keys)
+    spread = cuts.spread(rows, "us", ["k", "us", "y", "x", "id"]).where(" and ".join(f"{c} is not null" for c in keys)).repartition(*keys)
     order = ["k", "chunk", "us", "y", "x", "id"]
 
     def distinct(t: pa.Table, starts: np.ndarray):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions.geo import haversine_km, haversine_np
-from pathloom.operators.ordered import changed, column, drop_copies, find_cuts, micros, ordered_map
+from pathloom.operators.ordered import changed, column, find_cuts, micros, ordered_map
 
 
 def key_summary(pings: DataFrame, key: str = "uid", lat: str = "lat", lng: str = "lng", time: str = "datetime") -> DataFrame:
@@ -55,7 +55,7 @@ def path_measures(pings: DataFrame, key: str = "uid", lat: str = "lat", lng: str
     """
     rows = pings.select(F.col(key).alias("k"), micros(time).alias("us"), F.col(lat).cast("double").alias("y"), F.col(lng).cast("double").alias("x")).dropna()
     cuts = find_cuts(rows.select("k", "us"), "k", "us", pings.count())
-    rows = cuts.chunk(drop_copies(rows, ["k", "us", "y", "x"]), "us")
+    rows = cuts.spread(rows, "us", ["k", "us", "y", "x"])
 
     def kernel(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = starts.copy()

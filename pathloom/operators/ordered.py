@@ -30,47 +30,45 @@ def micros(column) -> Column:
 
 @dataclasses.dataclass
 class Cuts:
-    """Where hot keys are cut: per key 65 quantiles of the order column, each span cut evenly into ``m`` chunks.
-
-    ``sync`` (optional): per key and chunk the position from which the chunk's own rows start, and the chunk that owns
-    those before it.
-    """
+    """Where hot keys are cut: per key the ascending positions of the order column at which its chunks after the first begin."""
 
     key: str
-    kind: T.DataType
-    knots: dict
-    m: dict
-    sync: dict | None = None
+    bounds: dict
 
     def __bool__(self) -> bool:
-        return bool(self.knots)
+        return bool(self.bounds)
 
     def keys(self) -> list:
-        return list(self.knots)
-
-    def chunk(self, df: DataFrame, order: str, name: str = "chunk") -> DataFrame:
-        """``df`` with its chunk: -1 for keys that aren't hot."""
-        if not self.knots:
-            return df.withColumn(name, F.lit(-1))
-        fields = [T.StructField("_k", self.kind), T.StructField("_knots", T.ArrayType(T.LongType())), T.StructField("_m", T.IntegerType())]
-        rows = [(k, v, self.m[k]) for k, v in self.knots.items()]
-        if self.sync:
-            fields += [T.StructField("_at", T.ArrayType(T.LongType())), T.StructField("_own", T.ArrayType(T.IntegerType())), T.StructField("_before", T.ArrayType(T.IntegerType()))]
-            rows = [(*r, *self.sync[r[0]]) for r in rows]
-        table = df.sparkSession.createDataFrame(rows, T.StructType(fields))  # at most MOST_CHUNKS entries in all
-        x = F.col(order)
-        span = F.greatest(F.lit(1), F.least(F.lit(KNOTS), F.size(F.filter("_knots", lambda b: b <= x))))
-        lo, hi = F.element_at("_knots", span), F.element_at("_knots", span + 1)
-        inside = F.floor((x - lo) / F.greatest(hi - lo, F.lit(1)) * F.col("_m")).cast("int")
-        first = (span - 1) * F.col("_m") + F.greatest(F.lit(0), F.least(F.col("_m") - 1, inside))
-        if self.sync:
-            first = F.when(x >= F.element_at("_at", first + 1), F.element_at("_own", first + 1)).otherwise(F.element_at("_before", first + 1))
-        out = df.join(F.broadcast(table), df[self.key] == table["_k"], "left")
-        return out.select(*[df[c] for c in df.columns], F.when(F.col("_k").isNull(), -1).otherwise(first).cast("int").alias(name))
+        return list(self.bounds)
+
+    def spread(self, df: DataFrame, order: str, copies: list[str] | None = None) -> DataFrame:
+        """``df`` with its ``chunk``: -1 for keys that aren't hot. Rows equal in ``copies`` are combined map-side on the way (see :func:`drop_copies`)."""
+        if not self.bounds and not copies:
+            return df.withColumn("chunk", F.lit(-1))
+        key = self.key
+        held = df.sparkSession.sparkContext.broadcast({k: np.array(v, np.int64) for k, v in self.bounds.items()})  # at most about MOST_CHUNKS entries
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bounds = held.value
+            hot = pa.array(list(bounds))
+            for b in batches:
+                if copies:
+                    b = drop_copies(b, copies)
+                chunk = np.full(b.num_rows, -1, np.int32)
+                if bounds and b.num_rows:
+                    which = pc.index_in(b.column(key), hot.cast(b.column(key).type)).fill_null(-1).to_numpy(zero_copy_only=False)
+                    us = b.column(order).to_numpy(zero_copy_only=False)
+                    for j in np.unique(which[which >= 0]):
+                        own = which == j
+                        chunk[own] = np.searchsorted(bounds[hot[int(j)].as_py()], us[own], "right")
+                yield pa.record_batch([*b.columns, pa.array(chunk)], names=[*b.schema.names, "chunk"])
+
+        return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("chunk", T.IntegerType())]))
 
 
 def find_cuts(df: DataFrame, key: str, order: str, total: int | None = None, least: int | None = None) -> Cuts:
-    """The hot keys of ``df`` and where to cut them along the long column ``order``.
+    """The hot keys of ``df`` and where to cut them along the long column ``order``: at 64 quantiles, each span again cut
+    evenly so that chunks hold about ``least`` rows.
 
     One map-side combined count by key; quantiles only over the rows of the hot keys. Nulls in either column are left out.
     """
@@ -78,37 +76,36 @@ def find_cuts(df: DataFrame, key: str, order: str, total: int | None = None, lea
     size = max(least or LEAST_CHUNK_ROWS, total // MOST_CHUNKS)
     rows = df.where(F.col(key).isNotNull() & F.col(order).isNotNull())
     hot = {r[0]: r[1] for r in rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > size).collect()}  # at most total / size keys
-    kind = df.schema[key].dataType
     if not hot:
-        return Cuts(key, kind, {}, {})
+        return Cuts(key, {})
     at = [i / KNOTS for i in range(KNOTS + 1)]
     grid = F.percentile_approx(order, F.array(*[F.lit(x) for x in at]), F.lit(2000))
-    found = rows.where(F.col(key).isin(list(hot))).groupBy(key).agg(grid.alias("knots")).collect()
-    return Cuts(key, kind, {r[0]: [int(x) for x in r[1]] for r in found}, {k: -(-n // (size * KNOTS)) for k, n in hot.items()})
+    bounds = {}
+    for r in rows.where(F.col(key).isin(list(hot))).groupBy(key).agg(grid.alias("knots")).collect():
+        m = -(-hot[r[0]] // (size * KNOTS))
+        knots = np.array(r[1], np.int64)
+        inner = [lo + (hi - lo) * i // m for lo, hi in zip(knots[:-1], knots[1:]) for i in range(m)]
+        bounds[r[0]] = np.unique(np.array(inner[1:], np.int64)).tolist()
+    return Cuts(key, bounds)
 
 
-def drop_copies(df: DataFrame, keys: list[str]) -> DataFrame:
+def drop_copies(b: pa.RecordBatch, keys: list[str]) -> pa.RecordBatch:
     """Map-side combining of rows equal in ``keys`` (the first stays), so that a row copied without end shrinks before the shuffle.
 
     Only copies within one Arrow batch meet here; the ordered kernels drop the rest, which sorting has made neighbours.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = np.zeros(b.num_rows, np.uint64)
-            with np.errstate(over="ignore"):
-                for k in keys:
-                    h = (h ^ bits(b.column(k))) * np.uint64(0x9E3779B97F4A7C15)
-                    h ^= h >> np.uint64(29)
-            o = np.argsort(h, kind="stable")
-            same = np.r_[False, h[o][1:] == h[o][:-1]]
-            if same.any():
-                for k in keys:  # equal hashes are not yet equal rows
-                    same[1:] &= ~changed(b.column(k).take(pa.array(o)))
-                b = b.take(pa.array(np.sort(o[~same])))
-            yield b
-
-    return df.mapInArrow(run, df.schema)
+    h = np.zeros(b.num_rows, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in keys:
+            h = (h ^ bits(b.column(k))) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    o = np.argsort(h, kind="stable")
+    same = np.r_[False, h[o][1:] == h[o][:-1]][: len(o)]
+    if same.any():
+        for k in keys:  # equal hashes are not yet equal rows
+            same[1:] &= ~changed(b.column(k).take(pa.array(o)))
+        b = b.take(pa.array(np.sort(o[~same])))
+    return b
 
 
 def bits(column: pa.Array) -> np.ndarray:

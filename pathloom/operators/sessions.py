@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.operators.ordered import changed, column, drop_copies, find_cuts, micros, ordered_map
+from pathloom.operators.ordered import changed, column, find_cuts, micros, ordered_map
 from pathloom.session import written
 
 
@@ -33,9 +33,7 @@ def sessions(events: DataFrame, key: str = "uid", time: str = "datetime", gap_s:
     rows = rows.where(F.col("k").isNotNull() & F.col("us").isNotNull())
     same = ["k", "us", *[f"c{i}" for i in range(len(extra))]]
     cuts = find_cuts(rows.select("k", "us"), "k", "us", events.count())
-    if copies is not None:
-        rows = drop_copies(rows, same)
-    rows = cuts.chunk(rows, "us")
+    rows = cuts.spread(rows, "us", same if copies is not None else None)
 
     def kernel(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         if copies is not None:
