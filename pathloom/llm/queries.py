@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import leaks, runs
+from pathloom.llm import languages, leaks, runs
 from pathloom.session import table
 
 
@@ -28,6 +28,15 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_leaks(spark, folder).select("item_id", "doc_id").distinct()
 
 
+def p10_stretches(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.stretches(table(spark, folder, "documents"), languages.fit_profiles(table(spark, folder, "lang_samples")))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = languages.unlabelled_languages(table(spark, folder, "documents"), languages.fit_profiles(table(spark, folder, "lang_samples")))
+    return found.select("doc_id", "lang").distinct()
+
+
 _RUNS_SQL = """
 WITH p AS (SELECT DISTINCT uid, datetime, lat, lng FROM privacy_toy WHERE uid IS NOT NULL AND lat IS NOT NULL AND lng IS NOT NULL AND datetime >= TIMESTAMP '2005-01-01' AND datetime < TIMESTAMP '2036-01-01'),
 q AS (SELECT *, lag(lat) OVER w AS la, lag(lng) OVER w AS lo, lag(datetime) OVER w AS t, row_number() OVER w AS i FROM p WINDOW w AS (PARTITION BY uid ORDER BY datetime, lat, lng)),
@@ -37,7 +46,7 @@ g AS (SELECT *, sum(c) OVER (PARTITION BY uid ORDER BY i ROWS UNBOUNDED PRECEDIN
 s AS (SELECT uid, min(epoch_us(datetime)) AS a, max(epoch_us(datetime)) AS b, count(*) AS n, arg_min(lat, i) AS lat, arg_min(lng, i) AS lng FROM g GROUP BY uid, r)
 """
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_runs, p9_found, p9_leaks)}
+QUERIES = {f.__name__: f for f in (p7_found, p7_runs, p9_found, p9_leaks, p10_found, p10_stretches)}
 
 ORACLE = {
     "p7_found": f"{_RUNS_SQL} SELECT DISTINCT uid, a // 1000000 AS start_s FROM s WHERE n >= 3",
