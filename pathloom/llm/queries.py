@@ -5,10 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import languages, leaks, runs
+from pathloom.llm import languages, leaks, packing, quantiles, runs
 from pathloom.session import table
 
 
+WANTED = [0.05, 0.25, 0.5, 0.75, 0.95]
+
+
+def _flows(spark: SparkSession, folder: str) -> DataFrame:
+    """Each flow once, with its day."""
+    return table(spark, folder, "ny_commuting_flows_2011").dropDuplicates(["flow_id"]).withColumn("day", F.col("datetime").cast("date"))
+
+
+def _named(p: DataFrame, kind: str, key: str) -> DataFrame:
+    values = [F.col("percentiles")[i].alias(f"p{round(100 * q):02d}") for i, q in enumerate(WANTED)]
+    return p.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), "n", *values)
+
+
+def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each origin, destination and day; those of origins are put together from the sketches of their days."""
+    flows = _flows(spark, folder)
+    days = quantiles.sketch(flows, ["origin", "day"], "flow")
+    out = _named(quantiles.percentiles(quantiles.merge(days, ["origin"]), ["origin"], WANTED), "origin", "origin")
+    out = out.unionByName(_named(quantiles.percentiles(quantiles.merge(days, ["day"]), ["day"], WANTED), "day", "day"))
+    return out.unionByName(_named(quantiles.percentiles(quantiles.sketch(flows, ["destination"], "flow"), ["destination"], WANTED), "destination", "destination"))
+
+
+def p8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(packing.count_tokens(table(spark, folder, "documents")), 2048)
+
+
 def p7_runs(spark: SparkSession, folder: str) -> DataFrame:
     t = F.col("datetime")
     pings = table(spark, folder, "privacy_toy").where((t >= F.lit("2005-01-01").cast("timestamp")) & (t < F.lit("2036-01-01").cast("timestamp")))
@@ -46,7 +72,7 @@ g AS (SELECT *, sum(c) OVER (PARTITION BY uid ORDER BY i ROWS UNBOUNDED PRECEDIN
 s AS (SELECT uid, min(epoch_us(datetime)) AS a, max(epoch_us(datetime)) AS b, count(*) AS n, arg_min(lat, i) AS lat, arg_min(lng, i) AS lng FROM g GROUP BY uid, r)
 """
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_runs, p9_found, p9_leaks, p10_found, p10_stretches)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p7_found, p7_runs, p8_packing, p9_found, p9_leaks, p10_found, p10_stretches)}
 
 ORACLE = {
     "p7_found": f"{_RUNS_SQL} SELECT DISTINCT uid, a // 1000000 AS start_s FROM s WHERE n >= 3",
