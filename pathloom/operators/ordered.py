@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,3 +170,27 @@ def ordered_map(df: DataFrame, key: str, order: list[str], kernel: Callable[[pa.
             yield from kernel(t, starts)
 
     return part.mapInArrow(run, schema)
+
+
+def with_previous(df: DataFrame, key: str, order: list[str], values: dict[str, str], time: str | None = None) -> DataFrame:
+    """``df`` with columns of the row before in the key's order: ``values`` maps new names to columns.
+
+    ``time`` (default: the first of ``order``) is the timestamp along which hot keys are cut; a cut's first row gets the
+    last row of the chunk before from a table of one row per chunk. Rows with a null key or time are left out.
+    """
+    time = time or order[0]
+    names = df.columns
+    rows = df.where(F.col(key).isNotNull() & F.col(time).isNotNull()).withColumn("_us", micros(time))
+    cuts = find_cuts(rows.select(key, "_us"), key, "_us")
+    by = [key]
+    if cuts:
+        rows, by = cuts.spread(rows, "_us"), [key, "chunk"]
+    w = Window.partitionBy(*by).orderBy(*order)
+    own = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
+    rows = rows.withColumn("_prev", F.lag(own).over(w))
+    if cuts:
+        last = rows.where("chunk >= 0").groupBy(key, "chunk").agg(F.max(F.struct(*order, own.alias("_own")))["_own"].alias("_own"))
+        before = last.withColumn("_edge", F.lag("_own").over(Window.partitionBy(key).orderBy("chunk"))).select(F.col(key).alias("_k"), F.col("chunk").alias("_c"), "_edge")
+        rows = rows.join(F.broadcast(before), (F.col(key) == F.col("_k")) & (F.col("chunk") == F.col("_c")), "left")  # at most MOST_CHUNKS rows
+        rows = rows.withColumn("_prev", F.coalesce("_prev", "_edge"))
+    return rows.select(*names, *[F.col("_prev")[n].alias(n) for n in values])
