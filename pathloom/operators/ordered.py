@@ -194,3 +194,15 @@ def with_previous(df: DataFrame, key: str, order: list[str], values: dict[str, s
         rows = rows.join(F.broadcast(before), (F.col(key) == F.col("_k")) & (F.col("chunk") == F.col("_c")), "left")  # at most MOST_CHUNKS rows
         rows = rows.withColumn("_prev", F.coalesce("_prev", "_edge"))
     return rows.select(*names, *[F.col("_prev")[n].alias(n) for n in values])
+
+
+def grouped_map(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``kernel`` over tables of whole groups in order, many groups at a time; for folds that can't be cut. Without keys all rows are one group."""
+    part = df.repartition(*keys) if keys else df.repartition(1)
+    part = part.sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in whole_groups(batches, keys):
+            yield from kernel(t, starts)
+
+    return part.mapInArrow(run, schema)
