@@ -159,7 +159,7 @@ def bounds(points: DataFrame) -> DataFrame:
 def _shoelace() -> Column:
     """{a, x, y}: twice the signed area, and the moments of the first ring, relative to its first corner."""
     ring = "geometry[0]"
-    term = f"(i) -> named_struct('c', ({ring}[i].x - {ring}[0].x) * ({ring}[i + 1].y - {ring}[0].y) - ({ring}[i + 1].x - {ring}[0].x) * ({ring}[i].y - {ring}[0].y), 'x', {ring}[i].x + {ring}[i + 1].x - 2 * {ring}[0].x, 'y', {ring}[i].y + {ring}[i + 1].y - 2 * {ring}[0].y)"
+    term = f"i -> named_struct('c', ({ring}[i].x - {ring}[0].x) * ({ring}[i + 1].y - {ring}[0].y) - ({ring}[i + 1].x - {ring}[0].x) * ({ring}[i].y - {ring}[0].y), 'x', {ring}[i].x + {ring}[i + 1].x - 2 * {ring}[0].x, 'y', {ring}[i].y + {ring}[i + 1].y - 2 * {ring}[0].y)"
     return F.expr(f"aggregate(transform(sequence(0, size({ring}) - 2), {term}), named_struct('a', 0D, 'x', 0D, 'y', 0D), (s, t) -> named_struct('a', s.a + t.c, 'x', s.x + t.x * t.c, 'y', s.y + t.y * t.c))")
 
 
