@@ -129,8 +129,8 @@ def lempel_ziv_entropy(seq: list) -> float:
         while j < n and seq[j] in to[state]:
             state = to[state][seq[j]]
             j += 1
-        # j symbols from i are known; the shortest new substring has one more, and one more still at the end
-        total += (j - i + 1) if j < n else (n - i + 1)
+        # what is known ends before j, so the shortest new substring has one more; one that reaches the end counts one longer
+        total += (j - i + 1) if j + 1 < n else (n - i + 1)
         extend(seq[i])
     return n * math.log2(n) / total
 

@@ -179,21 +179,21 @@ def with_previous(df: DataFrame, key: str, order: list[str], values: dict[str, s
     last row of the chunk before from a table of one row per chunk. Rows with a null key or time are left out.
     """
     time = time or order[0]
-    names = df.columns
-    rows = df.where(F.col(key).isNotNull() & F.col(time).isNotNull()).withColumn("_us", micros(time))
-    cuts = find_cuts(rows.select(key, "_us"), key, "_us")
-    by = [key]
+    # The row itself is packed, so that no column of it can clash with those in between.
+    rows = df.where(F.col(key).isNotNull() & F.col(time).isNotNull())
+    rows = rows.select(F.col(key).alias("_k"), micros(time).alias("_us"), F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]).alias("_o"), F.struct("*").alias("_row"))
+    cuts = find_cuts(rows.select("_k", "_us"), "_k", "_us")
+    by = ["_k"]
     if cuts:
-        rows, by = cuts.spread(rows, "_us"), [key, "chunk"]
-    w = Window.partitionBy(*by).orderBy(*order)
-    own = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
-    rows = rows.withColumn("_prev", F.lag(own).over(w))
+        rows, by = cuts.spread(rows, "_us"), ["_k", "chunk"]
+    own = F.struct(*[F.col("_row")[c].alias(n) for n, c in values.items()])
+    rows = rows.withColumn("_prev", F.lag(own).over(Window.partitionBy(*by).orderBy("_o")))
     if cuts:
-        last = rows.where("chunk >= 0").groupBy(key, "chunk").agg(F.max(F.struct(*order, own.alias("_own")))["_own"].alias("_own"))
-        before = last.withColumn("_edge", F.lag("_own").over(Window.partitionBy(key).orderBy("chunk"))).select(F.col(key).alias("_k"), F.col("chunk").alias("_c"), "_edge")
-        rows = rows.join(F.broadcast(before), (F.col(key) == F.col("_k")) & (F.col("chunk") == F.col("_c")), "left")  # at most MOST_CHUNKS rows
+        last = rows.where("chunk >= 0").groupBy("_k", "chunk").agg(F.max(F.struct("_o", own.alias("_own")))["_own"].alias("_own"))
+        before = last.withColumn("_edge", F.lag("_own").over(Window.partitionBy("_k").orderBy("chunk"))).select(F.col("_k").alias("_k2"), F.col("chunk").alias("_c"), "_edge")
+        rows = rows.join(F.broadcast(before), (F.col("_k") == F.col("_k2")) & (F.col("chunk") == F.col("_c")), "left")  # at most MOST_CHUNKS rows
         rows = rows.withColumn("_prev", F.coalesce("_prev", "_edge"))
-    return rows.select(*names, *[F.col("_prev")[n].alias(n) for n in values])
+    return rows.select(*[F.col("_row")[c].alias(c) for c in df.columns], *[F.col("_prev")[n].alias(n) for n in values])
 
 
 def grouped_map(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema) -> DataFrame:

@@ -97,5 +97,58 @@ def point_tiles(points: DataFrame, order: list[str] | None = None) -> DataFrame:
     return points.withColumn("tile_ID", rank.cast("string"))
 
 
+# Average edge length (km) and area (km2) of the cells of the public hexagonal grid, by resolution 0 to 15.
+HEXAGON_EDGE_KM = (1107.712591, 418.6760055, 158.2446558, 59.81085794, 22.6063794, 8.544408276, 3.229482772, 1.220629759, 0.461354684, 0.174375668, 0.065907807, 0.024910561, 0.009415526, 0.003559893, 0.001348575, 0.000509713)
+HEXAGON_AREA_KM2 = (4250546.8477, 607220.9782429, 86745.8540347, 12392.2648621, 1770.3235517, 252.9033645, 36.1290521, 5.1612932, 0.7373276, 0.1053325, 0.0150475, 0.0021496, 0.0003071, 0.0000439, 0.0000063, 0.0000009)
+
+
+def hexagon_resolution(meters: float, area_km2: float | None = None) -> int:
+    """The resolution whose edges are nearest to ``meters``; if its cells (or finer ones) are larger than the area to cover, one
+    coarser than the finest that still is."""
+    res = int(np.argmin(np.abs(np.array(HEXAGON_EDGE_KM) - meters / 1000)))
+    if area_km2 is not None:
+        larger = [r for r, a in enumerate(HEXAGON_AREA_KM2) if a > area_km2]
+        if larger and res <= larger[-1]:
+            return max(0, larger[-1] - 1)
+    return res
+
+
+def hexagons(spark: SparkSession, base: list | tuple, meters: float = 500) -> DataFrame:
+    """Hexagons with edges of the resolution nearest to ``meters``, in Web-Mercator rows: ``tile_ID``, ``geometry`` in degrees.
+
+    Those whose centre lies in the shape are kept. ValueError if no centre does. The cells are this grid's own, not those
+    of the public icosahedral grid, whose sizes it follows.
+    """
+    edge = HEXAGON_EDGE_KM[hexagon_resolution(meters)] * 1000
+    rings = None if isinstance(base, tuple) and len(base) == 4 else [[_metres(*p) for p in ring] for ring in base]
+    if rings is None:
+        (ax, ay), (bx, by) = _metres(base[0], base[1]), _metres(base[2], base[3])
+    else:
+        xs, ys = [p[0] for r in rings for p in r], [p[1] for r in rings for p in r]
+        ax, ay, bx, by = min(xs), min(ys), max(xs), max(ys)
+    wide, high = math.sqrt(3) * edge, 1.5 * edge
+    i0, j0 = math.floor(ax / wide) - 1, math.floor(ay / high) - 1
+    nx, ny = math.ceil(bx / wide) - i0 + 2, math.ceil(by / high) - j0 + 2
+    i, j = F.col("id") % nx + F.lit(i0), F.floor(F.col("id") / nx) + F.lit(j0)
+    x = (i + F.pmod(j, F.lit(2)) / F.lit(2.0)) * F.lit(wide)
+    grid = spark.range(nx * ny).select(F.concat_ws("_", i, j).alias("tile_ID"), x.alias("x"), (j * F.lit(high)).alias("y"))
+    if rings is None:
+        grid = grid.where(F.col("x").between(ax, bx) & F.col("y").between(ay, by))
+    else:
+        zone = Zones([rings])
+
+        def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                hit, _ = zone.containing(b["y"].to_numpy(), b["x"].to_numpy())
+                yield b.iloc[np.sort(hit)]
+
+        grid = grid.mapInPandas(inside, grid.schema)
+    if not grid.limit(1).count():
+        raise ValueError(f"no centre of hexagons with edges of {edge:.0f} m lies in the shape: give a smaller length")
+    corner = [F.struct(mercator_lng(F.col("x") + F.lit(edge * math.sin(math.pi / 3 * k))).alias("x"), mercator_lat(F.col("y") + F.lit(edge * math.cos(math.pi / 3 * k))).alias("y")) for k in (*range(6), 0)]
+    return grid.select("tile_ID", F.array(F.array(*corner)).alias("geometry"))
+
+
+register("hexagonal", hexagons)
 register("squared", squares)
 register("voronoi", point_tiles)
