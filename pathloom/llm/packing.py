@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,10 +87,10 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
 _MEMBER = "struct<doc:{kind},piece:int,n:long>"
 
 
-def _round(items: DataFrame, capacity: int, schema: str) -> DataFrame:
-    """Every partition's items (size, members) as bins; ``full`` marks those that are emitted."""
+def _round(items: DataFrame, capacity: int, schema: str, number: int) -> DataFrame:
+    """Every partition's items (size, members) as bins; ``full`` marks those that are emitted. A bin is named by round, partition and place."""
 
-    def pack(t: pa.Table) -> pa.RecordBatch:
+    def pack(t: pa.Table, made: int) -> pa.RecordBatch:
         size = t.column("size").to_numpy()
         bins = best_fit(size, capacity)
         o = np.argsort(bins, kind="stable")
@@ -98,19 +99,20 @@ def _round(items: DataFrame, capacity: int, schema: str) -> DataFrame:
         members = t.column("members").take(pa.array(o)).combine_chunks()
         ends = np.r_[members.offsets.to_numpy()[at], members.offsets.to_numpy()[-1]]
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), members.values)
-        return pa.record_batch([pa.array(total), lists, pa.array(capacity - total <= capacity * NEARLY_FULL)], names=["size", "members", "full"])
+        names = [f"{number}-{TaskContext.get().partitionId()}-{made + i}" for i in range(len(total))]
+        return pa.record_batch([pa.array(names), pa.array(total), lists, pa.array(capacity - total <= capacity * NEARLY_FULL)], names=["bin", "size", "members", "full"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, rows = [], 0
+        kept, rows, made = [], 0, 0
         for b in batches:
             if b.num_rows:
                 kept.append(b)
                 rows += b.num_rows
             if rows >= MOST_ITEMS:
-                yield pack(pa.Table.from_batches(kept).combine_chunks())
-                kept, rows = [], 0
+                yield (out := pack(pa.Table.from_batches(kept).combine_chunks(), made))
+                kept, rows, made = [], 0, made + out.num_rows
         if rows:
-            yield pack(pa.Table.from_batches(kept).combine_chunks())
+            yield pack(pa.Table.from_batches(kept).combine_chunks(), made)
 
     return items.select("size", "members").mapInArrow(run, schema)
 
@@ -119,8 +121,7 @@ def pack(items: DataFrame, capacity: int, item_id: str = "doc_id", size: str = "
     """Items assigned to bins: ``item_id``, ``piece``, ``start`` (of the piece in its item), ``n`` and ``bin``.
 
     An item is divided only if it is larger than ``capacity``: into full pieces and the rest. Items of size 0 or null
-    take no room and are left out; every other row is an item, rows with equal ids too. Bins are named by the first of
-    their pieces. A round's underfull bins are written to the shared folder and counted; the last round is the one that
+    take no room and are left out; every other row is an item, rows with equal ids too. A round's underfull bins are written to the shared folder and counted; the last round is the one that
     ends in one task, or that no longer makes a tenth fewer bins.
     """
     kind = items.schema[item_id].dataType.simpleString()
@@ -130,10 +131,11 @@ def pack(items: DataFrame, capacity: int, item_id: str = "doc_id", size: str = "
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.lit(capacity)).cast("int") - 1)))
     part = F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * F.lit(capacity).cast("long"))
     open_ = pieces.select(part.alias("size"), F.array(F.struct("doc", "piece", part.alias("n"))).cast(f"array<{member}>").alias("members"))
-    schema = f"size long, members array<{member}>, full boolean"
-    done, groups, before = [], None, None
+    schema = f"bin string, size long, members array<{member}>, full boolean"
+    done, groups, before, number = [], None, None, 0
     while True:
-        made = written(_round(open_, capacity, schema), "bins")
+        made = written(_round(open_, capacity, schema, number), "bins")
+        number += 1
         left = made.where("not full").count()
         done.append(made.where("full"))
         if groups == 1 or left == 0 or (before is not None and left > 0.9 * before):
@@ -146,6 +148,5 @@ def pack(items: DataFrame, capacity: int, item_id: str = "doc_id", size: str = "
     bins = done[0]
     for d in done[1:]:
         bins = bins.unionByName(d)
-    first = F.array_min(F.col("members"))
-    out = bins.select(F.concat_ws("-", first["doc"].cast("string"), first["piece"].cast("string")).alias("bin"), F.explode("members").alias("m"))
+    out = bins.select("bin", F.explode("members").alias("m"))
     return out.select(F.col("m.doc").alias(item_id), F.col("m.piece").alias("piece"), (F.col("m.piece") * F.lit(capacity).cast("long")).alias("start"), F.col("m.n").alias("n"), "bin")
