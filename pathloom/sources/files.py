@@ -103,8 +103,12 @@ def read_geojson(spark: SparkSession, path: str, tile_id: str | None = None) ->
 
     ``tile_id`` names the property that becomes ``tile_ID``; without it features are numbered by their text.
     """
-    raw = spark.read.option("multiLine", True).json(path).select(F.explode("features").alias("f"))
-    shape = F.to_json("f.geometry.coordinates") if dict(raw.select("f.geometry.*").dtypes)["coordinates"] != "string" else F.col("f.geometry.coordinates")
+    reader = spark.read.option("multiLine", True)
+    found = reader.json(path).schema["features"].dataType.elementType
+    shape = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())])  # coordinates as text: their depth differs
+    kind = T.StructType([T.StructField("features", T.ArrayType(T.StructType([f for f in found.fields if f.name == "properties"] + [T.StructField("geometry", shape)])))])
+    raw = reader.schema(kind).json(path).select(F.explode("features").alias("f"))
+    shape = F.col("f.geometry.coordinates")
     point = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
     polygon = F.transform(F.from_json(shape, "array<array<array<double>>>"), lambda r: F.transform(r, point))
     multi = F.transform(F.flatten(F.from_json(shape, "array<array<array<array<double>>>>")), lambda r: F.transform(r, point))
