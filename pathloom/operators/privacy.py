@@ -50,14 +50,17 @@ class Attack:
         self.knowledge_length = knowledge_length
 
     def elements(self, traj: DataFrame) -> DataFrame:
-        """``uid``, ``at`` (order), ``e`` (struct of the element's fields)."""
-        return traj.select("uid", F.struct("datetime", "lat", "lng").alias("at"), F.struct("lat", "lng").alias("e"))
+        """``uid``, ``e`` (struct of the element's fields), and ``at`` (their order) where order matters."""
+        return traj.select("uid", F.struct("lat", "lng").alias("e"))
 
     def key(self, inst: Column) -> Column:
-        return inst if self.ordered else F.array_sort(inst)
+        """What instances are compared by. Where order doesn't matter, elements are sorted before they are combined, so instances are too."""
+        return inst
 
     def _own(self, traj: DataFrame) -> DataFrame:
         rows = self.elements(traj.where("uid is not null and lat is not null and lng is not null"))
+        if not self.ordered:
+            return rows.groupBy("uid").agg(F.sort_array(F.collect_list("e")).alias("own"))
         own = F.sort_array(F.collect_list(F.struct("at", "e")))
         return rows.groupBy("uid").agg(F.transform(own, lambda s: s["e"]).alias("own"))
 
@@ -100,6 +103,9 @@ class LocationSequenceAttack(Attack):
 
     ordered = True
 
+    def elements(self, traj: DataFrame) -> DataFrame:
+        return traj.select("uid", F.struct("datetime", "lat", "lng").alias("at"), F.struct("lat", "lng").alias("e"))
+
 
 class LocationTimeAttack(Attack):
     """Locations with their time, cut to a precision."""
@@ -111,15 +117,15 @@ class LocationTimeAttack(Attack):
         self.time_precision = time_precision
 
     def elements(self, traj: DataFrame) -> DataFrame:
-        t = time_bucket(F.col("datetime"), self.time_precision)
-        return traj.select("uid", F.struct("datetime", "lat", "lng").alias("at"), F.struct("lat", "lng", t.alias("time")).alias("e"))
+        t = F.unix_seconds(F.date_trunc(self.time_precision, F.col("datetime").cast("timestamp")))
+        return traj.select("uid", F.struct("lat", "lng", t.alias("time")).alias("e"))
 
 
 class UniqueLocationAttack(Attack):
     """Distinct locations."""
 
     def elements(self, traj: DataFrame) -> DataFrame:
-        return frequency_vector(traj).select("uid", F.struct("freq", "lat", "lng").alias("at"), F.struct("lat", "lng").alias("e"))
+        return frequency_vector(traj).select("uid", F.struct("lat", "lng").alias("e"))
 
 
 class _Valued(Attack):
@@ -135,15 +141,15 @@ class _Valued(Attack):
         return frequency_vector(traj).select("uid", "lat", "lng", F.col("freq").cast("double").alias("value"))
 
     def elements(self, traj: DataFrame) -> DataFrame:
-        return self.vector(traj).select("uid", F.struct("value", "lat", "lng").alias("at"), F.struct("lat", "lng", "value").alias("e"))
+        return self.vector(traj).select("uid", F.struct("lat", "lng", "value").alias("e"))
 
     relative = False  # to the greatest number of the instance
 
     def key(self, inst: Column) -> Column:
         if not self.relative:
-            return F.array_sort(inst)
+            return inst
         top = F.array_max(F.transform(inst, lambda e: e["value"]))
-        return F.array_sort(F.transform(inst, lambda e: F.struct(e["lat"].alias("lat"), e["lng"].alias("lng"), (e["value"] / top).alias("value"))))
+        return F.transform(inst, lambda e: F.struct(e["lat"].alias("lat"), e["lng"].alias("lng"), (e["value"] / top).alias("value")))
 
     def _counts(self, traj: DataFrame) -> DataFrame:
         if self.tolerance == 0:
