@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 
 #: A key with fewer rows is never cut.
 LEAST_CHUNK_ROWS = 100_000
-#: At most about so many chunks come from hot keys, whatever the input; the cut table is collected and broadcast.
-MOST_CHUNKS = 200_000
+#: At most so many keys are hot, whatever the input: a key with less than this part of all rows isn't. Each is cut at 64
+#: places or more, and the places (at most about 65 times as many) are collected and sent to every task.
+MOST_HOT = 20_000
 KNOTS = 64
 
 
@@ -46,7 +47,7 @@ class Cuts:
         if not self.bounds and not copies:
             return df.withColumn("chunk", F.lit(-1))
         key = self.key
-        held = df.sparkSession.sparkContext.broadcast({k: np.array(v, np.int64) for k, v in self.bounds.items()})  # at most about MOST_CHUNKS entries
+        held = df.sparkSession.sparkContext.broadcast({k: np.array(v, np.int64) for k, v in self.bounds.items()})  # at most about 65 * MOST_HOT entries
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bounds = held.value
@@ -73,9 +74,9 @@ def find_cuts(df: DataFrame, key: str, order: str, total: int | None = None, lea
     One map-side combined count by key; quantiles only over the rows of the hot keys. Nulls in either column are left out.
     """
     total = df.count() if total is None else total
-    size = max(least or LEAST_CHUNK_ROWS, total // MOST_CHUNKS)
+    size = max(least or LEAST_CHUNK_ROWS, total // MOST_HOT)
     rows = df.where(F.col(key).isNotNull() & F.col(order).isNotNull())
-    hot = {r[0]: r[1] for r in rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > size).collect()}  # at most total / size keys
+    hot = {r[0]: r[1] for r in rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > size).collect()}  # at most MOST_HOT keys
     if not hot:
         return Cuts(key, {})
     at = [i / KNOTS for i in range(KNOTS + 1)]
@@ -191,7 +192,7 @@ def with_previous(df: DataFrame, key: str, order: list[str], values: dict[str, s
     if cuts:
         last = rows.where("chunk >= 0").groupBy("_k", "chunk").agg(F.max(F.struct("_o", own.alias("_own")))["_own"].alias("_own"))
         before = last.withColumn("_edge", F.lag("_own").over(Window.partitionBy("_k").orderBy("chunk"))).select(F.col("_k").alias("_k2"), F.col("chunk").alias("_c"), "_edge")
-        rows = rows.join(F.broadcast(before), (F.col("_k") == F.col("_k2")) & (F.col("chunk") == F.col("_c")), "left")  # at most MOST_CHUNKS rows
+        rows = rows.join(F.broadcast(before), (F.col("_k") == F.col("_k2")) & (F.col("chunk") == F.col("_c")), "left")  # a row per chunk, at most about 65 * MOST_HOT
         rows = rows.withColumn("_prev", F.coalesce("_prev", "_edge"))
     return rows.select(*[F.col("_row")[c].alias(c) for c in df.columns], *[F.col("_prev")[n].alias(n) for n in values])
 
