@@ -1,8 +1,9 @@
 """Preparation of trajectories: speed filter, compression, stay locations, clusters of locations.
 
-Each is a fold over one trajectory's points in the order of time, by uid and, where present, tid. The folds carry state
-that no cut leaves whole, so a trajectory is one group; whole partitions of trajectories go through one Arrow kernel. For
-stops of sources that hold a large part of all rows there is :mod:`pathloom.operators.trips`, which cuts them.
+Each is a fold over one trajectory's points in the order of time, by uid and, where present, tid; whole partitions of
+trajectories go through one Arrow kernel. A step of more than twice the radius ends any run and any stay, so compression
+and stay locations cut hot individuals (without tid) at such steps. The state of the speed filter and of clusters is left
+whole by no cut: there a trajectory is one group.
 Points with a null in datetime or position are left out. Extra columns are kept.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathloom.functions.geo import haversine_np, unit_vectors
-from pathloom.operators.ordered import grouped_map, micros
+from pathloom.operators.ordered import Cuts, find_cuts, grouped_map, micros, ordered_map
 
 # Fixed value: the radius of the earth that clustering reckons with, in km.
 CLUSTER_RADIUS_KM = 6371.0088
@@ -29,6 +30,33 @@ def _prepared(traj: DataFrame, by_trip: bool = True) -> tuple[DataFrame, list[st
     return rows.withColumn("_us", micros("datetime")), keys
 
 
+def _leaps(rows: DataFrame, keys: list[str], radius_km: float) -> tuple[Cuts | None, dict]:
+    """Cuts of hot individuals at the first step of each chunk that is longer than twice the radius, and by (uid, chunk) the point that
+    follows: (us, lat, lng). None if nobody is hot."""
+    if keys != ["uid"]:
+        return None, {}
+    cuts = find_cuts(rows.select("uid", "_us"), "uid", "_us")
+    if not cuts:
+        return None, {}
+    hot = cuts.spread(rows.where(F.col("uid").isin(cuts.keys())).select("uid", "_us", "lat", "lng"), "_us")
+
+    def kernel(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        us, y, x = _arrays(t)
+        far = np.zeros(len(us), bool)
+        far[1:] = (haversine_np(y[:-1], x[:-1], y[1:], x[1:]) > 2 * radius_km * (1 + 1e-9)) & (us[1:] > us[:-1]) & ~starts[1:]
+        at, group = np.flatnonzero(far), np.cumsum(starts)
+        at = at[np.r_[True, group[at][1:] != group[at][:-1]][: len(at)]]
+        yield pa.record_batch([t.column("uid").take(pa.array(at)).combine_chunks(), us[at], y[at], x[at]], names=["uid", "us", "lat", "lng"])
+
+    kind = rows.schema["uid"].dataType.simpleString()
+    found: dict = {k: [] for k in cuts.keys()}
+    for r in ordered_map(hot, "uid", ["_us", "lat", "lng"], kernel, f"uid {kind}, us long, lat double, lng double").collect():  # at most one row per chunk
+        found[r[0]].append((r[1], r[2], r[3]))
+    found = {k: sorted(v) for k, v in found.items()}
+    follows = {(k, c): p for k, v in found.items() for c, p in enumerate(v)}
+    return Cuts("uid", {k: [p[0] for p in v] for k, v in found.items()}), follows
+
+
 def _arrays(t: pa.Table):
     return t.column("_us").to_numpy(), t.column("lat").to_numpy(), t.column("lng").to_numpy()
 
@@ -134,16 +162,25 @@ def run_starts(y, x, starts: np.ndarray, radius_km: float) -> np.ndarray:
 def compress(traj: DataFrame, spatial_radius_km: float = 0.2) -> DataFrame:
     """Runs of points within ``spatial_radius_km`` of their first, each as one point: medians of position, the first's time and extra columns."""
     rows, keys = _prepared(traj)
+    traj_names = traj.columns
 
     def kernel(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         _, y, x = _arrays(t)
         at = np.flatnonzero(run_starts(y, x, starts, spatial_radius_km))
-        out = t.drop_columns(["_us"]).take(pa.array(at)).combine_chunks()
+        out = t.select(traj_names).take(pa.array(at)).combine_chunks()
         for name, values in (("lat", _medians(y, at)), ("lng", _medians(x, at))):
             out = out.set_column(out.schema.get_field_index(name), name, pa.array(values))
         yield from out.to_batches()
 
-    return grouped_map(rows, keys, ["_us", "lat", "lng"], kernel, traj.schema)
+    cuts, _ = _leaps(rows, keys, spatial_radius_km)
+    return _folded(rows, keys, cuts, kernel, traj.schema)
+
+
+def _folded(rows: DataFrame, keys: list[str], cuts: Cuts | None, kernel, schema) -> DataFrame:
+    order = ["_us", "lat", "lng"]
+    if cuts is None or "chunk" in rows.columns:
+        return grouped_map(rows, keys, order, kernel, schema)
+    return ordered_map(cuts.spread(rows, "_us"), "uid", order, kernel, schema)
 
 
 def _medians(v: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -201,11 +238,22 @@ def stay_locations(traj: DataFrame, stop_radius_factor: float = 0.5, minutes_for
     least, silence = minutes_for_a_stop * 6e7, no_data_for_minutes * 6e7
     fields = [*traj.schema.fields, *([T.StructField("leaving_datetime", traj.schema["datetime"].dataType)] if leaving_time else [])]
 
+    traj_names = traj.columns
+    cuts, follows = _leaps(rows, keys, radius)
+    cuts = None if "chunk" in rows.columns else cuts
+
     def kernel(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         us, y, x = _arrays(t)
-        found = [s for a, b in _spans(starts) for s in _stays(us, y, x, a, b, radius, least, silence, min_speed_kmh)]
+        found = []
+        for a, b in _spans(starts):
+            after = follows.get((t.column("uid")[a].as_py(), t.column("chunk")[a].as_py())) if cuts else None
+            if after is None:
+                found += _stays(us, y, x, a, b, radius, least, silence, min_speed_kmh)
+            else:  # the point after the cut closes the last stay
+                part = [np.r_[v[a:b], p] for v, p in zip((us, y, x), after)]
+                found += [(i + a, j + a, leave, e + a) for i, j, leave, e in _stays(*part, 0, b - a + 1, radius, least, silence, min_speed_kmh)]
         first, extra = pa.array([f for f, *_ in found], pa.int64()), pa.array([e for *_, e in found], pa.int64())
-        out = t.drop_columns(["_us"]).take(extra).combine_chunks()
+        out = t.select(traj_names).take(extra).combine_chunks()
         names = out.schema.names
         out = out.set_column(names.index("lat"), "lat", pa.array([float(np.median(y[a:b])) for a, b, *_ in found], pa.float64()))
         out = out.set_column(names.index("lng"), "lng", pa.array([float(np.median(x[a:b])) for a, b, *_ in found], pa.float64()))
@@ -215,7 +263,7 @@ def stay_locations(traj: DataFrame, stop_radius_factor: float = 0.5, minutes_for
             out = out.append_column("leaving_datetime", pa.array([n for *_, n, _ in found], pa.timestamp("us", getattr(kind, "tz", None))))
         yield from out.combine_chunks().to_batches()
 
-    return grouped_map(rows, keys, ["_us", "lat", "lng"], kernel, T.StructType(fields))
+    return _folded(rows, keys, cuts, kernel, T.StructType(fields))
 
 
 def dbscan(y: np.ndarray, x: np.ndarray, radius_km: float, min_samples: int) -> np.ndarray:

@@ -83,3 +83,24 @@ def test_run_starts_against_loop():
 
 def test_order_doesnt_depend_on_input(twenty):
     assert by_uid(p.compress(twenty.orderBy(F.desc("row_id")), 20), "lat") == by_uid(p.compress(twenty, 20), "lat")
+
+
+def test_hot_individuals_are_cut(spark, monkeypatch):
+    import datetime as dt
+
+    from pathloom.operators import ordered
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for uid, n in ((1, 900), (2, 60)):
+        y = 45 + np.cumsum(rng.choice([0, 0.0003, -0.0003, 0.01, -0.01], n, p=[0.4, 0.25, 0.25, 0.05, 0.05]))
+        t = dt.datetime(2011, 1, 1)
+        for v in y:
+            t += dt.timedelta(minutes=int(rng.integers(1, 9)))
+            rows.append((uid, float(v), 9.0, t, "x"))
+    df = spark.createDataFrame(rows, "uid long, lat double, lng double, datetime timestamp_ntz, note string")
+    for f in (lambda: p.compress(df, 0.2), lambda: p.stay_locations(df), lambda: p.stay_locations(df, min_speed_kmh=1.0), lambda: p.stay_locations(df, no_data_for_minutes=7)):
+        monkeypatch.setattr(ordered, "LEAST_CHUNK_ROWS", 100_000)
+        whole = sorted(map(tuple, f().collect()))
+        monkeypatch.setattr(ordered, "LEAST_CHUNK_ROWS", 100)
+        assert sorted(map(tuple, f().collect())) == whole and whole
