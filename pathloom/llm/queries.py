@@ -13,8 +13,9 @@ WANTED = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 
 def _flows(spark: SparkSession, folder: str) -> DataFrame:
-    """Each flow once, with its day."""
-    return table(spark, folder, "ny_commuting_flows_2011").dropDuplicates(["flow_id"]).withColumn("day", F.col("datetime").cast("date"))
+    """Each flow once, with its day and month."""
+    once = table(spark, folder, "ny_commuting_flows_2011").dropDuplicates(["flow_id"])
+    return once.withColumns({"day": F.col("datetime").cast("date"), "month": F.trunc(F.col("datetime").cast("date"), "month")})
 
 
 def _named(p: DataFrame, kind: str, key: str) -> DataFrame:
@@ -23,11 +24,11 @@ def _named(p: DataFrame, kind: str, key: str) -> DataFrame:
 
 
 def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Of each origin, destination and day; those of origins are put together from the sketches of their days."""
+    """Of each origin, destination and day; those of origins are put together from the sketches of their months."""
     flows = _flows(spark, folder)
-    days = quantiles.sketch(flows, ["origin", "day"], "flow")
-    out = _named(quantiles.percentiles(quantiles.merge(days, ["origin"]), ["origin"], WANTED), "origin", "origin")
-    out = out.unionByName(_named(quantiles.percentiles(quantiles.merge(days, ["day"]), ["day"], WANTED), "day", "day"))
+    months = quantiles.sketch(flows, ["origin", "month"], "flow")
+    out = _named(quantiles.percentiles(quantiles.merge(months, ["origin"]), ["origin"], WANTED), "origin", "origin")
+    out = out.unionByName(_named(quantiles.percentiles(quantiles.sketch(flows, ["day"], "flow"), ["day"], WANTED), "day", "day"))
     return out.unionByName(_named(quantiles.percentiles(quantiles.sketch(flows, ["destination"], "flow"), ["destination"], WANTED), "destination", "destination"))
 
 
