@@ -1,11 +1,11 @@
-import datetime as dt
 import os
 import sys
 
 os.environ["PYTHONPATH"] = os.pathsep.join([os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.environ.get("PYTHONPATH", "")])
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
 
 import pytest
+from helpers import TWENTY, A, D, rows_of
 from pyspark.sql import SparkSession
 
 
@@ -24,26 +24,6 @@ def spark():
     yield s
 
 
-A, B, C, D = (43.8430139, 10.507994), (43.54427, 10.32615), (43.70853, 10.4036), (43.77925, 11.24626)
-TWENTY = {
-    1: [(3, 8, A), (3, 9, B), (3, 10, C), (4, 10, D)],
-    2: [(3, 8, A), (3, 9, C), (4, 10, A), (4, 11, B)],
-    3: [(3, 8, B), (3, 9, C), (4, 10, A), (4, 11, D)],
-    4: [(4, 10, C), (4, 11, B), (4, 12, D)],
-    5: [(4, 10, C), (4, 11, D), (5, 12, A)],
-    6: [(4, 10, A), (4, 11, B)],
-}
-
-
-def rows_of(users):
-    out, i = [], 0
-    for uid, points in users.items():
-        for day, hour, (lat, lng) in points:
-            out.append((i, uid, lat, lng, dt.datetime(2011, 2, day, hour, 34, 4)))
-            i += 1
-    return out
-
-
 @pytest.fixture(scope="session")
 def twenty(spark):
     return spark.createDataFrame(rows_of(TWENTY), "row_id int, uid long, lat double, lng double, datetime timestamp_ntz").cache()
@@ -53,7 +33,3 @@ def twenty(spark):
 def twenty_three(spark):
     users = {**TWENTY, 7: [(4, 10, A), (4, 11, A), (5, 12, D)]}
     return spark.createDataFrame(rows_of(users), "row_id int, uid long, lat double, lng double, datetime timestamp_ntz").cache()
-
-
-def by_uid(df, name):
-    return [r[name] for r in df.orderBy("uid").collect()]

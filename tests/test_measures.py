@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from conftest import A, B, C, by_uid
+from helpers import A, B, C, by_uid
 from pyspark.sql import functions as F
 
 from pathloom.functions.geo import decimal_degrees, degree_offsets, haversine_km

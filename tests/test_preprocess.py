@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import TWENTY, by_uid, rows_of
+from helpers import TWENTY, by_uid, rows_of
 from pyspark.sql import functions as F
 
 from pathloom.operators import preprocess as p

@@ -1,5 +1,5 @@
 import pytest
-from conftest import by_uid
+from helpers import by_uid
 
 from pathloom.operators import privacy as p
 
