@@ -1,7 +1,7 @@
 """Stops and trips of moving sources from their pings.
 
-Positions are projected to local kilometres, averaged over short slots and denoised by total variation, which leaves
-piecewise constant plateaus. Plateaus that last long enough mark where stays are sought; an exact check on the pings
+Positions as points in space are averaged over short slots and denoised by total variation, which leaves piecewise
+constant plateaus. Plateaus that may last long enough mark where stays are sought; an exact check on the pings
 themselves then finds each stay: the longest stretch from some ping on that stays within a radius of it. Minimum-duration
 stays are stops, and the original path between consecutive stops is a trip.
 """
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.functions.geo import haversine_np, unit_vectors
+from pathloom.functions.geo import EARTH_RADIUS_KM, haversine_np, unit_vectors
 from pathloom.operators.faults import Limits, scan
 from pathloom.operators.near import chord
 from pathloom.session import written
@@ -76,8 +76,14 @@ def total_variation(z: np.ndarray, penalty: float) -> np.ndarray:
     return np.array(out)
 
 
-def plateaus(us, y, x, starts, stay: Stay) -> np.ndarray:
-    """Which pings lie in, or within three slots of, a plateau of the denoised path that lasts ``least_s`` or more."""
+def plateaus(us, p, starts, stay: Stay) -> np.ndarray:
+    """Which pings may begin a stay, p being their unit vectors: those in, or within three slots of, a plateau of the denoised
+    path that lasts ``least_s`` or more together with the slots before and after it.
+
+    No stay is lost: the slots that lie wholly inside one have averages within the radius of its first ping, as a ball is
+    convex, and total variation makes no jump larger; so they are on one plateau, and the first and last ping, whose slots
+    may hold pings of the way there and on, are at most one slot off.
+    """
     n = len(us)
     group = np.cumsum(starts)
     slot = us // int(stay.slot_s * 1e6)
@@ -85,25 +91,20 @@ def plateaus(us, y, x, starts, stay: Stay) -> np.ndarray:
     new[1:] |= slot[1:] != slot[:-1]
     at = np.flatnonzero(new)
     size = np.diff(np.r_[at, n])
-    lap = (np.diff(x, prepend=x[:1]) + 180) % 360 - 180  # no leap at 180 degrees
-    c = np.cos(np.radians(y))
-    dx = lap * 111.195 * (c + np.r_[c[:1], c[:-1]]) / 2
-    dx[starts] = 0
-    e = np.cumsum(dx)
-    e -= np.repeat(e[np.flatnonzero(starts)], np.diff(np.r_[np.flatnonzero(starts), n]))
-    north, east = np.add.reduceat(y * 111.195, at) / size, np.add.reduceat(e, at) / size
+    mean = np.add.reduceat(p, at) / size[:, None] * EARTH_RADIUS_KM
     first, last = us[at], us[at + size - 1]
     fresh = np.r_[True, (group[at][1:] != group[at][:-1]) | (first[1:] - last[:-1] > stay.silence_s * 1e6)]
     edges = np.r_[np.flatnonzero(fresh), len(at)]
     flat = np.zeros(len(at), bool)  # whether a slot goes on where the one before was
     for a, b in zip(edges[:-1], edges[1:]):
         if last[b - 1] - first[a] >= stay.least_s * 1e6:
-            u, v = total_variation(north[a:b], stay.penalty_km), total_variation(east[a:b], stay.penalty_km)
+            u = np.stack([total_variation(z, stay.penalty_km) for z in mean[a:b].T])
             # two pings of one stay lie within twice the radius of each other, and so do averages of such
-            flat[a + 1 : b] = np.hypot(np.diff(u), np.diff(v)) <= 2.1 * stay.radius_km
+            flat[a + 1 : b] = np.sqrt((np.diff(u) ** 2).sum(axis=0)) <= 2.1 * stay.radius_km
     head = np.flatnonzero(~flat)
     tail = np.r_[head[1:], len(at)] - 1
-    long_ = last[tail] - first[head] >= (stay.least_s - 2 * stay.slot_s) * 1e6
+    before, after = head - ~fresh[head], tail + ~np.r_[fresh[1:], True][tail]
+    long_ = last[after] - first[before] >= stay.least_s * 1e6
     mark = np.zeros(len(at) + 1, np.int64)
     np.add.at(mark, np.maximum(head[long_] - 3, 0), 1)
     np.add.at(mark, np.minimum(tail[long_] + 4, len(at)), -1)
@@ -130,7 +131,7 @@ def stays(us, y, x, starts, stay: Stay) -> list[tuple[int, int]]:
     wide = np.int64(int(us.max() - us.min()) + int(stay.least_s * 1e6) + 2)
     line = seg * wide + (us - us.min())
     k = np.searchsorted(line, line + int(stay.least_s * 1e6))
-    i = np.flatnonzero(plateaus(us, y, x, starts, stay) & (k < end))
+    i = np.flatnonzero(plateaus(us, p, starts, stay) & (k < end))
     for f in (1.0, 0.5, 0.25, 0.75):
         i = i[near(i, i + np.ceil((k[i] - i) * f).astype(np.int64))]
     out, free = [], 0

@@ -190,6 +190,29 @@ def test_stays_against_definition():
         assert trips.stays(us, y, x, starts, trips.Stay()) == plain_stays(us, y, x)
 
 
+def test_stays_of_sparse_reporters():
+    """Fast reports on the way and few or none while standing; arrival and departure share slots with the stay's first and last ping."""
+    rng = np.random.default_rng(9)
+    stops = 0
+    for lat in (0.0, 45.0, 77.6, 89.97):
+        wide = np.cos(np.radians(lat))
+        for waits in ([7200], [900, 900], [300] * 5, [1190, 30], [86_400]):
+            t, a, rows = 0, 0.0, []
+            for _ in range(4):
+                for _ in range(30):
+                    a, t = a + 0.004, t + 10
+                    rows.append((t, lat, 179.95 + a / wide))
+                for w in waits:
+                    t += w
+                    rows.append((t, lat + rng.normal(0, 1e-4), 179.95 + a / wide + rng.normal(0, 1e-4) / wide))
+            us, y, x = (np.array(c) for c in zip(*rows))
+            us, x, starts = us * 1_000_000, (x + 180) % 360 - 180, np.arange(len(us)) == 0
+            want = plain_stays(us, y, x)
+            stops += len(want)
+            assert trips.stays(us, y, x, starts, trips.Stay()) == want
+    assert stops == 80
+
+
 def test_total_variation_is_optimal():
     rng = np.random.default_rng(0)
     for _ in range(300):
