@@ -43,7 +43,6 @@ class Limits:
     stuck_s: float = 1200
     away_km: float = 1.0
     repeats: float = 0.5
-    least_kmh: float = 1.0
 
     def no_place(self) -> Column:
         """Positions out of range, or that stand for none; null where a null decides."""
@@ -159,7 +158,7 @@ def profile(us, y, x, starts, lim: Limits):
         i = np.flatnonzero(~starts & (room >= k) & odd)
         i = i[odd[i + k - 1]]  # where the way is left and where it is regained; between, company may be quiet
         s = np.minimum(v[i], v[i + k])
-        ok = (s > lim.least_kmh) & (_bridge(us, y, x, i, k) * lim.times <= s)
+        ok = (s > 0) & (_bridge(us, y, x, i, k) * lim.times <= s)
         i, s = i[ok], s[ok]
         for j in range(k + 1):  # the steps there, within and back
             np.maximum.at(evidence, i + j, s)
@@ -176,10 +175,10 @@ def normal_speed(bins: np.ndarray, tops: np.ndarray, lim: Limits) -> float:
     o = np.argsort(bins, kind="stable")
     bins, tops = bins[o], np.maximum.accumulate(tops[o]) if len(o) else tops
     level = np.where(bins > 0, 1e-3 * np.exp(bins / BINS_PER_E), 0.0)
-    speed = lim.least_kmh
+    speed = 0.0
     while True:
         n = np.searchsorted(level, lim.times * speed, "right")
-        new = max(lim.least_kmh, float(tops[n - 1])) if n else lim.least_kmh
+        new = float(tops[n - 1]) if n else 0.0
         if new <= speed:
             return speed
         speed = new

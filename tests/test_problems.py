@@ -162,6 +162,16 @@ def test_faults(spark, monkeypatch):
     assert faults.faults(df.limit(0)).count() == 0
 
 
+def test_leap_of_a_slow_source(spark):
+    """No speed is too low for a leap: 50 m there and back within minutes, from a source that else drifts at less than 0.05 km/h."""
+    rng = np.random.default_rng(4)
+    rows = [(1, 45 + 1e-5 * i + rng.normal(0, 1e-6), 9.0, T0 + dt.timedelta(seconds=130 * i)) for i in range(40)]
+    rows += [(2, 45.0, 9.0, T0 + dt.timedelta(seconds=130 * i)) for i in range(4)]  # never moves, thus none
+    u, y, x, t = rows[20]
+    rows[20] = (u, y + 50 / 111_195, x, t)
+    assert {(r.ping_id, r.kind) for r in faults.faults(pings(spark, rows)).collect()} == {(20, "spike")}
+
+
 def plain_stays(us, y, x, stay=trips.Stay()):
     out, i, n = [], 0, len(us)
     while i < n:
