@@ -88,7 +88,7 @@ class LeakIndex:
                 if p == 0 and allowed:
                     flat = [t for g in code for t in g]
                     terms = sorted(set(flat), key=lambda t: lookup[t * n + i])
-                    self.passages[i] = (np.array(flat, np.int64), allowed)
+                    self.passages[i] = (np.array(flat, np.int64), allowed, np.array([len(g) for g in code], np.int64))
                     lost = sum(sorted(map(len, part))[-allowed:])  # runs of letters in the words that may change
                     least_passage[i] = sum(lookup[t * n + i] for t in terms[:-lost])
                     self.fewest[i] = max(1, len(terms) - lost)
@@ -125,7 +125,7 @@ class LeakIndex:
         begin = np.r_[0, np.cumsum(size)]
         own, item, *_ = self._retrieve(ids, size, begin, *self.levels[0])
         found = self._runs(ids, begin, np.unique(own * len(self.ids) + item))
-        return found + self._changed(ids, begin, {(d, i) for d, i, _ in found}, *self._retrieve(ids, size, begin, *self.levels[1]))
+        return found + self._changed(texts, ids, begin, {(d, i) for d, i, _ in found}, *self._retrieve(ids, size, begin, *self.levels[1]))
 
     def _retrieve(self, ids, size, begin, stretch, theta):
         """(text, item, position, shared terms) of the queries, each a stretch and the next, that reach an item's threshold."""
@@ -216,16 +216,21 @@ class LeakIndex:
                         j += 1
         return [(k // n, k % n, "run") for k in found & set(candidates.tolist())]
 
-    def _changed(self, ids, begin, found, own, item, position, shared) -> list[tuple[int, int, str]]:
+    def _changed(self, texts, ids, begin, found, own, item, position, shared) -> list[tuple[int, int, str]]:
         """Candidates that hold a whole passage with some words changed: an alignment around what was retrieved."""
         many = shared >= self.fewest[item]
         out: set[tuple[int, int]] = set()
         width = 2 * self.levels[1][0]
+        bounds: dict[int, np.ndarray] = {}  # of the texts' words between spaces
         for d, i, a in zip(own[many].tolist(), item[many].tolist(), position[many].tolist()):
             if (d, i) in found or (d, i) in out:
                 continue
-            passage, allowed = self.passages[i]
-            if aligned(passage, ids[a : min(int(begin[d + 1]), a + width)]) <= allowed:
+            passage, allowed, sizes = self.passages[i]
+            if d not in bounds:
+                bounds[d] = np.cumsum([int(begin[d]), *map(len, spaced_words(texts[d]))])
+            z = min(int(begin[d + 1]), a + width)
+            lo, hi = np.searchsorted(bounds[d], [a, z + 1])
+            if aligned(passage, ids[a:z], sizes, bounds[d][lo:hi] - a) <= allowed:
                 out.add((d, i))
         return [(d, i, "passage") for d, i in out]
 
@@ -250,14 +255,32 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def aligned(passage: np.ndarray, part: np.ndarray) -> int:
-    """The fewest words to change, leave out or add so that ``passage`` occurs somewhere in ``part``."""
+def aligned(passage: np.ndarray, part: np.ndarray, sizes: np.ndarray | None = None, ends: np.ndarray | None = None) -> int:
+    """The fewest words to change, leave out or add so that ``passage`` occurs somewhere in ``part``.
+
+    Both are runs of letters. ``sizes``: of how many runs each word of the passage consists; ``ends``: where in ``part`` its
+    words between spaces end, from the first such place on. A word of several runs counts once, as does a run changed alone.
+    """
     d = np.zeros(len(part) + 1, np.int64)
     step = np.arange(len(part) + 1)
-    for w in passage:
-        e = np.minimum(d[1:] + 1, d[:-1] + (part != w))
-        e = np.r_[d[0] + 1, e]
-        d = np.minimum.accumulate(e - step) + step  # words added in between
+    lo, hi = (ends[:-1], ends[1:]) if ends is not None else (step[:0], step[:0])
+    multi = [(int(x), int(y)) for x, y in zip(lo, hi) if y - x > 1]
+    at = 0
+    for size in np.ones(len(passage), np.int64) if sizes is None else sizes:
+        before = d
+        for w in passage[at : at + size]:
+            e = np.minimum(d[1:] + 1, d[:-1] + (part != w))
+            e = np.r_[d[0] + 1, e]
+            d = np.minimum.accumulate(e - step) + step  # words added in between
+        at += size
+        if size > 1 or multi:
+            e = np.minimum(d, before + 1)  # the whole word left out
+            e[hi] = np.minimum(e[hi], before[lo] + 1)  # or one other in its place
+            d = np.minimum.accumulate(e - step) + step
+            for x, y in multi:  # a word of several runs added
+                if d[x] + 1 < d[y]:
+                    d[y] = d[x] + 1
+                    d[y:] = np.minimum.accumulate(d[y:] - step[y:]) + step[y:]
     return int(d.min())
 
 

@@ -78,6 +78,23 @@ def test_changed_passages(items):
             assert any(index.ids[i] == k for _, i, _ in found) == hit, (k, changes)
 
 
+def test_changed_words_of_several_runs():
+    """A word between spaces counts once, whatever the runs of letters of it and of the word in its place."""
+    w = [f"word{chr(97 + i)}" for i in range(24)]
+    w[3], w[11], w[19] = "l'eau", "12-year", "mother-in-law"
+    index = leaks.LeakIndex(pd.DataFrame([(7, " ".join(w), None)], columns=["item_id", "passage", "question"]))
+
+    def found(**other):
+        v = [other.get(f"w{i}", x) for i, x in enumerate(w)]
+        return [how for _, _, how in index.search([f"some text before {' '.join(v)} and after"])]
+
+    assert found(w3="fire", w8="x", w11="old", w19="uncle") == ["passage"]  # four words of 24
+    assert found(w3="", w8="x", w11="old", w19="uncle") == ["passage"]
+    assert found(w3="d'air", w8="x-ray", w11="year", w19="uncle") == ["passage"]
+    assert found(w3="l air", w8="x", w11="12 year", w19="mother in law", w15="y") == ["passage"]
+    assert found(w3="fire", w8="x", w11="old", w19="uncle", w15="y") == []  # five
+
+
 def test_alignment():
     p = np.array([1, 2, 3, 4, 5])
     assert leaks.aligned(p, np.array([9, 1, 2, 3, 4, 5, 9])) == 0
