@@ -31,11 +31,14 @@ def _combinations(elements: DataFrame, sizes: list[int]) -> DataFrame:
     rows = elements.withColumns({"inst": F.slice("own", 1, 0), "_at": F.lit(0)})
     out = None
     for size in range(1, max(sizes) + 1):
-        rows = rows.where(F.col("_at") < F.size("own")).withColumn("_i", F.explode(F.sequence(F.col("_at") + 1, F.size("own"))))
-        rows = rows.select("uid", "own", F.concat("inst", F.slice("own", F.col("_i"), 1)).alias("inst"), F.col("_i").alias("_at"))
-        if size in sizes:
-            part = rows.select("uid", F.lit(size).alias("size"), "inst")
+        rows = rows.where(F.col("_at") < F.size("own"))
+        if size in sizes:  # the array isn't carried along to the instances
+            rest = F.slice("own", F.col("_at") + 1, F.size("own"))
+            part = rows.select("uid", F.lit(size).alias("size"), F.explode(F.transform(rest, lambda e: F.concat("inst", F.array(e)))).alias("inst"))
             out = part if out is None else out.unionByName(part)
+        if size < max(sizes):
+            rows = rows.withColumn("_i", F.explode(F.sequence(F.col("_at") + 1, F.size("own"))))
+            rows = rows.select("uid", "own", F.concat("inst", F.slice("own", F.col("_i"), 1)).alias("inst"), F.col("_i").alias("_at"))
     return out
 
 
@@ -64,15 +67,30 @@ class Attack:
         own = F.sort_array(F.collect_list(F.struct("at", "e")))
         return rows.groupBy("uid").agg(F.transform(own, lambda s: s["e"]).alias("own"))
 
-    def _instances(self, traj: DataFrame) -> DataFrame:
-        """Instances of the lengths that targets can have: k, and all their elements for those with fewer."""
-        own = self._own(traj)
+    def _few(self, traj: DataFrame) -> DataFrame:
+        """As :meth:`_own`, with no more copies of an element than distinct instances need: k where order doesn't matter, and in
+        sequences of up to two the first and the last. Whoever has k elements or more still has k, the others have all."""
+        k = self.knowledge_length
+        rows = self.elements(traj.where("uid is not null and lat is not null and lng is not null"))
+        if not self.ordered:
+            few = rows.groupBy("uid", "e").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+            return few.groupBy("uid").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("e", "n"))), lambda s: F.array_repeat(s["e"], s["n"]))).alias("own"))
+        if k > 2:
+            return self._own(traj)
+        ends = rows.groupBy("uid", "e").agg(F.count("*").alias("n"), F.min("at").alias("a"), F.max("at").alias("b"))
+        two = ends.select("uid", "e", F.explode(F.when(F.col("n") > 1, F.array("a", "b")).otherwise(F.array("a"))).alias("at"))
+        return two.groupBy("uid").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "e"))), lambda s: s["e"]).alias("own"))
+
+    def _instances(self, traj: DataFrame, copies: bool = True) -> DataFrame:
+        """Instances of the lengths that targets can have: k, and all their elements for those with fewer. Without ``copies``
+        each distinct one is there, but not as often as it occurs."""
+        own = self._own(traj) if copies else self._few(traj)
         short = sorted(r[0] for r in own.where(F.size("own") < self.knowledge_length).select(F.size("own").alias("n")).distinct().collect())  # fewer than k numbers
         return _combinations(own, [*short, self.knowledge_length])
 
     def _counts(self, traj: DataFrame) -> DataFrame:
         """``uid``, ``size``, ``key``, ``n``: everyone's distinct instances and how many individuals each fits."""
-        own = self._instances(traj).select("uid", "size", self.key(F.col("inst")).alias("key")).distinct()
+        own = self._instances(traj, copies=False).select("uid", "size", self.key(F.col("inst")).alias("key")).distinct()
         fits = own.groupBy("size", "key").agg(F.count("*").alias("n"))
         return own.join(fits, ["size", "key"])
 
@@ -80,7 +98,7 @@ class Attack:
         """``uid``, ``risk``; or with ``force_instances`` each element of each instance with its probability (``prob``)."""
         counts = self._counts(traj)
         # An instance is a target's only in the length that its elements allow.
-        most = self._own(traj).select("uid", F.least(F.size("own"), F.lit(self.knowledge_length)).alias("size"))
+        most = self._few(traj).select("uid", F.least(F.size("own"), F.lit(self.knowledge_length)).alias("size"))
         if targets is not None:
             chosen = targets.select("uid").distinct() if isinstance(targets, DataFrame) else traj.sparkSession.createDataFrame([(t,) for t in targets], f"uid {traj.schema['uid'].dataType.simpleString()}")
             most = most.join(chosen, "uid", "left_semi")
@@ -154,7 +172,7 @@ class _Valued(Attack):
     def _counts(self, traj: DataFrame) -> DataFrame:
         if self.tolerance == 0:
             return super()._counts(traj)
-        own = self._instances(traj).select("uid", "size", self.key(F.col("inst")).alias("key")).distinct()
+        own = self._instances(traj, copies=False).select("uid", "size", self.key(F.col("inst")).alias("key")).distinct()
         kinds = own.select("size", "key").distinct()
         parts = kinds.select("size", "key", F.explode("key").alias("e")).select("size", "key", F.col("e.lat").alias("lat"), F.col("e.lng").alias("lng"), F.col("e.value").alias("known"))
         other = self.vector(traj.where("uid is not null and lat is not null and lng is not null"))

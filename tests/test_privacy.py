@@ -27,6 +27,15 @@ def test_targets_and_instances(twenty_three):
     assert told.count() == 12 and set(told.columns) == {"lat", "lng", "uid", "instance", "instance_elem", "prob"}
 
 
+def test_hot_individual(spark):
+    """Instances are as many as the distinct elements make, however often one individual was seen."""
+    rows = [(1, 45.0, 9.0 + (i * i) % 3, i) for i in range(20_000)] + [(2, 45.0, 10.0, 5), (2, 45.0, 9.0, 6), (3, 45.0, 9.0, 7)]
+    df = spark.createDataFrame(rows, "uid long, lat double, lng double, s long").selectExpr("uid", "lat", "lng", "timestamp_seconds(s) as datetime")
+    for attack, ones_over in ((p.LocationAttack(2), [1, 2, 3]), (p.LocationSequenceAttack(2), [1, 2, 3]), (p.LocationTimeAttack(2, "Day"), [1, 2, 3])):
+        assert attack._instances(df, copies=False).count() < 20
+        assert by_uid(attack.assess_risk(df), "risk") == pytest.approx([1 / n for n in ones_over])
+
+
 def test_arguments():
     with pytest.raises(ValueError):
         p.LocationAttack(0)
