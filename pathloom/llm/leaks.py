@@ -43,6 +43,8 @@ class LeakIndex:
                 ids.append(item)
                 parts.append(two)
         self.ids = np.array(ids, np.int64)
+        answers = dict(zip(items["item_id"], items["answer"])) if "answer" in items else {}
+        self.answers = [" ".join(words(x)) if isinstance(x := answers.get(i), str) else "" for i in ids]
         counts = [Counter(w for part in two for g in part for w in g) for two in parts]
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for c in counts for w in c}))}
         n, v = len(ids), len(self.vocabulary) + 1
@@ -127,6 +129,11 @@ class LeakIndex:
         found = self._runs(ids, begin, np.unique(own * len(self.ids) + item))
         return found + self._changed(texts, ids, begin, {(d, i) for d, i, _ in found}, *self._retrieve(ids, size, begin, *self.levels[1]))
 
+    def answered(self, text: str, items: list[int]) -> list[bool | None]:
+        """Whether the words of each item's answer occur in the text, one after the other; None for items without answer."""
+        own = f" {' '.join(words(text))} "
+        return [f" {self.answers[i]} " in own if self.answers[i] else None for i in items]
+
     def _retrieve(self, ids, size, begin, stretch, theta):
         """(text, item, position, shared terms) of the queries, each a stretch and the next, that reach an item's threshold."""
         v, n = len(self.code), len(self.ids)
@@ -285,11 +292,11 @@ def aligned(passage: np.ndarray, part: np.ndarray, sizes: np.ndarray | None = No
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, run: int = 12, changed: float = 1 / 6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each document that holds a test item in whole or part: ``item_id``, ``doc_id``, ``how``.
+    """Each document that holds a test item in whole or part: ``item_id``, ``doc_id``, ``how``, ``answered``.
 
     ``how`` is 'run' if at least ``run`` consecutive words (between spaces) of the item's passage or question occur, else
-    'passage' if the whole passage occurs with up to the share ``changed`` of its words changed. Case, accents,
-    punctuation, spacing, entities and wiki or HTML markup don't matter. Documents without text and items without words
+    'passage' if the whole passage occurs with up to the share ``changed`` of its words changed. ``answered`` says
+    whether the item's answer occurs too, null if it has none; it decides nothing. Case, accents, punctuation, spacing, entities and wiki or HTML markup don't matter. Documents without text and items without words
     match nothing; each row of ``documents`` is searched whole, copies too; other columns are ignored.
     """
     count = items.count()
@@ -297,7 +304,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, run: int = 12, changed:
     out = None
     for k in range(passes):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k) if passes > 1 else items
-        own = LeakIndex(part.select(F.col("item_id").cast("long"), "passage", "question").toPandas().sort_values("item_id"), run, changed)
+        own = LeakIndex(part.select(F.col("item_id").cast("long"), "passage", "question", *[c for c in ("answer",) if c in items.columns]).toPandas().sort_values("item_id"), run, changed)
         held = documents.sparkSession.sparkContext.broadcast(own)
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -308,9 +315,11 @@ def leaked_items(documents: DataFrame, items: DataFrame, run: int = 12, changed:
                     hits = index.search(texts.slice(a, 500).to_pylist())
                     if hits:
                         d, i, how = zip(*hits)
-                        yield pa.record_batch([pa.array(index.ids[list(i)]), b.column("doc").take(pa.array([a + x for x in d])), pa.array(how)], names=["item_id", "doc", "how"])
+                        by_text = {x: [j for y, j, _ in hits if y == x] for x in set(d)}
+                        told = {(x, j): t for x, own in by_text.items() for j, t in zip(own, index.answered(texts[a + x].as_py(), own))}
+                        yield pa.record_batch([pa.array(index.ids[list(i)]), b.column("doc").take(pa.array([a + x for x in d])), pa.array(how), pa.array([told[x, j] for x, j in zip(d, i)], pa.bool_())], names=["item_id", "doc", "how", "answered"])
 
         rows = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-        found = rows.mapInArrow(search, f"item_id long, doc {rows.schema['doc'].dataType.simpleString()}, how string")
+        found = rows.mapInArrow(search, f"item_id long, doc {rows.schema['doc'].dataType.simpleString()}, how string, answered boolean")
         out = found if out is None else out.unionByName(found)
-    return out.select("item_id", F.col("doc").alias(doc_id), "how")
+    return out.select("item_id", F.col("doc").alias(doc_id), "how", "answered")

@@ -48,7 +48,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("item_id", "doc_id", "how")
+    return leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("item_id", "doc_id", "how", "answered")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

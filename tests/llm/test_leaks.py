@@ -112,3 +112,12 @@ def test_operator(spark, items, monkeypatch):
         assert sorted(found) == [(3, 1), (4, 5), (4, 5)]
     assert leaks.leaked_items(docs.limit(0), tests).count() == 0
     assert leaks.leaked_items(docs, tests.limit(0)).count() == 0
+
+
+def test_answers(spark, items):
+    """Whether the answer occurs too is told, but decides nothing."""
+    q = items.iloc[4].question
+    docs = spark.createDataFrame([(1, f"{q} It is L\u2019'''Eau''' claire."), (2, f"{q} It is the eau, claire or not."), (3, "l'eau claire")], "doc_id long, text string")
+    for answer, told in (("l'eau claire", {1: True, 2: False}), (None, {1: None, 2: None})):
+        tests = spark.createDataFrame([(4, None, q, answer)], "item_id long, passage string, question string, answer string")
+        assert {r.doc_id: r.answered for r in leaks.leaked_items(docs, tests).collect()} == told
