@@ -90,34 +90,44 @@ def _keep(us, y, x, a: int, b: int, max_speed: float) -> list[int]:
     return [*kept, *range(i, b)]
 
 
+def _overreach(far: np.ndarray, late: np.ndarray, max_speed: float, speed: float, ratio: float) -> int | None:
+    """Which of the points ahead is dropped, from their distances and seconds from a kept point, the last being only a bound:
+    the first if it is reached too fast, else the farthest of a quick return, if there is one."""
+    if late[0] == 0 or far[0] / (late[0] / 3600) > max_speed:
+        return 0
+    far, late = far[:-1], late[:-1]
+    apex = int(far.argmax())
+    home = (np.arange(len(far)) > apex) & (far < ratio * far[apex])  # back near the kept point
+    if not home.any():
+        return None
+    out = slice(0, int(home.argmax()))
+    return apex if far[out].sum() * 3600 > speed * late[out].sum() > 0 else None
+
+
 def _keep_without_loops(us, y, x, a: int, b: int, max_speed: float, speed: float, max_loop: int, ratio: float) -> list[int]:
-    """As :func:`_keep`, and quick returns are dropped: within the next ``max_loop`` points the farthest, if a later one lies
-    nearer than ``ratio`` of its distance and the way up to there was faster than ``speed``."""
-    own = list(range(a, b))
-    i = 0
-    while i < len(own) - 2:
-        p, q = own[i], own[i + 1]
-        dt = (us[q] - us[p]) / 3.6e9
-        if dt == 0 or float(haversine_np(y[p], x[p], y[q], x[q])) / dt > max_speed:
-            del own[i + 1]
-            continue
-        ahead = np.array(own[i + 1 : i + min(max_loop, len(own) - i - 1)], int)
-        if not len(ahead):
-            i += 1
-            continue
-        far, late = haversine_np(y[p], x[p], y[ahead], x[ahead]), (us[ahead] - us[p]) / 1e6
-        top = int(np.argmax(far))
-        back = np.flatnonzero(far[top:] < far[top] * ratio)
-        if not len(back):
-            i += 1
-            continue
-        upto = top + int(back[0])
-        way, time = far[:upto].sum(), late[:upto].sum()
-        if time > 0 and way / time * 3600 > speed:
-            del own[i + 1 + top]
+    """As :func:`_keep`, and quick returns are dropped: of the next ``max_loop`` points but one the farthest, if a later one lies
+    nearer than ``ratio`` of its distance and the way up to there was faster than ``speed``.
+
+    Points are a linked list, so that dropping one costs the same however long the trajectory is.
+    """
+    after = list(range(a + 1, b + 1))  # after[i - a]: the next point that is left; b is the end
+    kept, here = [], a
+    while here < b:
+        ahead, j = [], after[here - a]
+        while j < b and len(ahead) < max_loop:
+            ahead.append(j)
+            j = after[j - a]
+        gone = None
+        if len(ahead) > 1:
+            at = np.array(ahead)
+            gone = _overreach(haversine_np(y[here], x[here], y[at], x[at]), (us[at] - us[here]) / 1e6, max_speed, speed, ratio)
+        if gone is None:
+            kept.append(here)
+            here = after[here - a]
         else:
-            i += 1
-    return own
+            before = ahead[gone - 1] if gone else here
+            after[before - a] = after[ahead[gone] - a]
+    return kept
 
 
 def filter_speed(traj: DataFrame, max_speed_kmh: float = 500.0, include_loops: bool = False, speed_kmh: float = 5.0, max_loop: int = 6, ratio_max: float = 0.25) -> DataFrame:
@@ -213,12 +223,10 @@ def _stays(us, y, x, a: int, b: int, radius: float, least_us: float, silence_us:
             hours = (us[i + 1 : found + 1] - us[i]) / 3.6e9
             with np.errstate(divide="ignore", invalid="ignore"):
                 speed = np.where(hours > 0, haversine_np(y[i], x[i], y[i + 1 : found + 1], x[i + 1 : found + 1]) / hours, 0.0)
-            back = 1
-            for back in range(1, len(speed)):
-                if speed[-back] < min_speed:
-                    break
-            if back > 1:
-                leave, upto = us[found - back + 1], found - back
+            slow = np.flatnonzero(speed[1:] < min_speed)
+            way_out = 1 + (int(slow[-1]) if len(slow) else 0)  # steps after the last slow one lead away
+            if way_out < len(speed) - 1:
+                leave, upto = us[i + way_out + 1], i + way_out
         if upto > i and leave - us[i] > least_us:
             yield i, upto, int(leave), found - 1
         i = found
