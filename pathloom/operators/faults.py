@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.geo import haversine_np
+from pathloom.operators import ordered
 from pathloom.operators.ordered import Cuts, changed, column, find_cuts, micros, ordered_map, whole_groups
 
 DAY_US = 86_400_000_000
@@ -108,8 +109,15 @@ def stuck(us, y, x, starts, share, lim: Limits) -> np.ndarray:
     return out
 
 
+#: Scales are taken from so many pings at least; of fewer the speed axis alone decides, which grows from nothing.
+LEAST_SCALED = 12
+
+
 def outside(us, y, x, starts) -> np.ndarray:
-    """Phase-space thresholding by group: pings outside the robust ellipsoid of offset, speed and change of velocity."""
+    """Phase-space thresholding by group: pings outside the robust ellipsoid of offset, speed and change of velocity.
+
+    Iterated: pings outside are put aside and the axes taken anew from the rest, until no more fall outside.
+    """
     n = len(us)
     out = np.zeros(n, bool)
     inner = np.zeros(n, bool)
@@ -124,20 +132,40 @@ def outside(us, y, x, starts) -> np.ndarray:
     h = np.maximum(np.r_[1, np.diff(us)], 1) / 3.6e9
     vy, vx = dy / h, dx / h
     part = h[i] / (h[i] + h[i + 1])
-    value = np.hypot(dy[i] - part * (dy[i] + dy[i + 1]), dx[i] - part * (dx[i] + dx[i + 1]))
-    first = np.minimum(np.hypot(vy[i], vx[i]), 1e9)
-    second = np.minimum(np.hypot(vy[i + 1] - vy[i], vx[i + 1] - vx[i]), 1e9)
+    space = np.stack([
+        np.hypot(dy[i] - part * (dy[i] + dy[i + 1]), dx[i] - part * (dx[i] + dx[i + 1])),
+        np.minimum(np.hypot(vy[i], vx[i]), 1e9),
+        np.minimum(np.hypot(vy[i + 1] - vy[i], vx[i + 1] - vx[i]), 1e9),
+    ])
     group = np.cumsum(starts)[i]
     cuts = np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(i)]
     for a, b in zip(cuts[:-1], cuts[1:]):
-        m = b - a
-        if m < 12:  # too few for scales
+        if b - a < LEAST_SCALED:
             out[i[a:b]] = True
             continue
-        room, far = np.sqrt(2 * np.log(m)) * 1.4826, np.zeros(m)
-        for z in (value[a:b], first[a:b], second[a:b]):
-            far += (z / max(room * np.median(z), 1e-9)) ** 2
-        out[i[a:b]] = far > 1
+        own, left = space[:, a:b], np.ones(b - a, bool)
+        while True:
+            rest = own[:, left]
+            axes = np.maximum(np.sqrt(2 * np.log(rest.shape[1])) * 1.4826 * np.median(rest, axis=1), 1e-9)
+            still = left & (((own / axes[:, None]) ** 2).sum(axis=0) <= 1)
+            if still.sum() in (left.sum(), 0) or still.sum() < LEAST_SCALED:
+                break
+            left = still
+        out[i[a:b]] = ~still
+    return out
+
+
+def _evidence(us, y, x, starts, v, odd, lim: Limits) -> np.ndarray:
+    """For each step the highest speed at which it is part of a way left and regained by pings that are ``odd``; 0 if it isn't."""
+    room, out = _room(starts), np.zeros(len(us))
+    for k in range(1, lim.alone + 1):
+        i = np.flatnonzero(~starts & (room >= k) & odd)
+        i = i[odd[i + k - 1]]  # where the way is left and where it is regained; between, company may be quiet
+        s = np.minimum(v[i], v[i + k])
+        ok = (s > 0) & (_bridge(us, y, x, i, k) * lim.times <= s)
+        i, s = i[ok], s[ok]
+        for j in range(k + 1):  # the steps there, within and back
+            np.maximum.at(out, i + j, s)
     return out
 
 
@@ -152,16 +180,7 @@ def profile(us, y, x, starts, lim: Limits):
     group = np.repeat(np.arange(len(at)), sizes)[keep]
     us, y, x, starts = us[keep], y[keep], x[keep], starts[keep]  # the first ping of a group is never stuck
     _, _, v = _steps(us, y, x, starts)
-    room, odd = _room(starts), outside(us, y, x, starts)
-    evidence = np.zeros(len(us))
-    for k in range(1, lim.alone + 1):
-        i = np.flatnonzero(~starts & (room >= k) & odd)
-        i = i[odd[i + k - 1]]  # where the way is left and where it is regained; between, company may be quiet
-        s = np.minimum(v[i], v[i + k])
-        ok = (s > 0) & (_bridge(us, y, x, i, k) * lim.times <= s)
-        i, s = i[ok], s[ok]
-        for j in range(k + 1):  # the steps there, within and back
-            np.maximum.at(evidence, i + j, s)
+    evidence = _evidence(us, y, x, starts, v, outside(us, y, x, starts), lim)
     step = ~starts
     b = np.where(evidence > 0, 1 + np.floor(np.log(np.maximum(evidence, 1e-3) / 1e-3) * BINS_PER_E), 0).astype(np.int64)
     key = (group[step] << 16) | np.minimum(b[step], 65535)
@@ -217,15 +236,67 @@ def flags(us, y, x, starts, speed, share, lim: Limits) -> tuple[np.ndarray, np.n
     return out, held
 
 
-def quiet_cuts(rows: DataFrame, cuts: Cuts) -> Cuts:
-    """``cuts`` moved to pings amid steady movement, where no spike, stuck run or stay can reach across.
+def calm(us, y, x, starts, lim: Limits) -> np.ndarray:
+    """Pings before which neither spike nor stuck run can reach across, so that a hot source may be cut there, moving or not.
+
+    Of the eleven steps around it none exceeds the highest step of the group that is part of no way left and regained,
+    with or without the pings of long runs: that one counts as normal whatever the ellipsoid is, so none of them is hot.
+    If the position goes on unchanged, the run lasts too long on both sides to be stuck; else the step is short.
+    """
+    n = len(us)
+    d, _, v = _steps(us, y, x, starts)
+    at, size, _ = _runs(y, x, starts)
+    group = np.cumsum(starts) - 1
+    run = np.repeat(np.arange(len(at)), size)
+    held = np.convolve((size >= lim.stuck)[run], np.ones(2 * lim.stuck - 1), "same") > 0 if n else np.zeros(0, bool)
+    held = held[:n] if n >= 2 * lim.stuck - 1 else np.ones(n, bool)
+    free = np.where((_evidence(us, y, x, starts, v, np.ones(n, bool), lim) == 0) & ~starts & ~held, v, 0.0)
+    normal = np.maximum.reduceat(free, np.flatnonzero(starts))[group] if n else free
+    low = np.zeros(n, bool)
+    w = 5
+    if n > 2 * w:
+        quiet = ~starts & (v <= normal)
+        low[w : n - w] = np.lib.stride_tricks.sliding_window_view(quiet, 2 * w + 1).all(axis=1)
+    begin, end = us[at][run], us[at + size - 1][run]
+    inside = np.zeros(n, bool)
+    inside[1:] = run[1:] == run[:-1]
+    before = np.r_[us[:1], us[:-1]]
+    long_ = (before - begin >= lim.stuck_s * 1e6) & (end - us >= lim.stuck_s * 1e6)
+    return low & np.where(inside, long_, d < lim.away_km)
+
+
+def moving(us, y, x, starts) -> np.ndarray:
+    """Pings amid steady movement, where no spike, stuck run or stay can reach across.
 
     Such a ping has nine steps of like speed around it, and is more than 0.45 km from five pings in a row before and after it
-    that are together less than 20 minutes apart. Of each chunk the first is taken; a chunk without any joins the one before.
+    that are together less than 20 minutes apart.
     """
+    n = len(us)
+    _, _, v = _steps(us, y, x, starts)
+    around = np.stack([np.r_[np.full(max(0, -o), np.nan), v[max(0, o) : n + min(0, o)], np.full(max(0, o), np.nan)][:n] for o in range(-4, 5)]) if n > 8 else np.full((9, n), np.nan)
+    with np.errstate(invalid="ignore"):
+        low, mid = around.min(axis=0), np.sort(around, axis=0)[4]
+        steady = (low > 0) & (around.max(axis=0) <= 3 * mid) & (v <= np.delete(around, 4, axis=0).max(axis=0))
+    at = np.flatnonzero(steady)
+    group = np.cumsum(starts)
+    ok = np.zeros(len(at), bool)
+    for o in (5, 10, 20, 40, 80, 160, 320):
+        good = np.ones(len(at), bool)
+        for p in range(o, o + 5):  # more than spikes come together
+            a, b = np.maximum(at - p, 0), np.minimum(at + p, n - 1)
+            good &= (at - p >= 0) & (at + p < n) & (group[a] == group[at]) & (group[b] == group[at]) & (us[b] - us[a] < 1_200_000_000)
+            good &= (haversine_np(y[a], x[a], y[at], x[at]) > 0.45) & (haversine_np(y[b], x[b], y[at], x[at]) > 0.45)
+        ok |= good
+    out = np.zeros(n, bool)
+    out[at[ok]] = True
+    return out
+
+
+def moved_cuts(rows: DataFrame, cuts: Cuts, fits: Callable) -> Cuts:
+    """``cuts`` moved to the first ping of each chunk where ``fits(us, y, x, starts)``; a chunk without any joins the one before."""
     if not cuts:
         return cuts
-    hot = cuts.spread(rows.where(F.col("k").isin(cuts.keys())), "us")
+    hot = cuts.spread(rows).where("chunk >= 0")
 
     def kernel(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = starts.copy()
@@ -233,46 +304,30 @@ def quiet_cuts(rows: DataFrame, cuts: Cuts) -> Cuts:
             new[1:] |= changed(t.column(c).chunk(0))
         t, starts = t.filter(pa.array(new)).combine_chunks(), starts[new]
         us, y, x = (column(t, c) for c in ("us", "y", "x"))
-        _, _, v = _steps(us, y, x, starts)
-        n = len(us)
-        around = np.stack([np.r_[np.full(max(0, -o), np.nan), v[max(0, o) : n + min(0, o)], np.full(max(0, o), np.nan)][:n] for o in range(-4, 5)]) if n > 8 else np.full((9, n), np.nan)
-        with np.errstate(invalid="ignore"):
-            low, mid = around.min(axis=0), np.sort(around, axis=0)[4]
-            calm = (low > 0) & (around.max(axis=0) <= 3 * mid) & (v <= np.delete(around, 4, axis=0).max(axis=0))
-        at = np.flatnonzero(calm)
         group = np.cumsum(starts)
-        ok = np.zeros(len(at), bool)
-        for o in (5, 10, 20, 40, 80, 160, 320):
-            good = np.ones(len(at), bool)
-            for p in range(o, o + 5):  # more than spikes come together
-                a, b = np.maximum(at - p, 0), np.minimum(at + p, n - 1)
-                good &= (at - p >= 0) & (at + p < n) & (group[a] == group[at]) & (group[b] == group[at]) & (us[b] - us[a] < 1_200_000_000)
-                good &= (haversine_np(y[a], x[a], y[at], x[at]) > 0.45) & (haversine_np(y[b], x[b], y[at], x[at]) > 0.45)
-            ok |= good
-        at = at[ok]
+        at = np.flatnonzero(fits(us, y, x, starts))
         at = at[np.r_[True, group[at][1:] != group[at][:-1]][: len(at)]]
-        yield pa.record_batch([t.column("k").take(pa.array(at)).combine_chunks(), t.column("chunk").take(pa.array(at)).combine_chunks(), us[at]], names=["k", "chunk", "us"])
+        at = at[column(t, "chunk")[at] > 0]
+        yield pa.record_batch([t.column("k").take(pa.array(at)).combine_chunks(), us[at], y[at], x[at]], names=["k", "us", "y", "x"])
 
     kind = rows.schema["k"].dataType.simpleString()
-    found: dict = {k: [] for k in cuts.keys()}
-    for r in ordered_map(hot, "k", ["us", "y", "x"], kernel, f"k {kind}, chunk int, us long").where("chunk > 0").collect():  # at most one row per chunk
-        found[r[0]].append(r[2])
-    return Cuts(cuts.key, {k: sorted(v) for k, v in found.items()})
+    return Cuts.of(ordered_map(hot, "k", ["us", "y", "x"], kernel, f"k {kind}, us long, y double, x double"), "k", ["us", "y", "x"])
 
 
-def scan(pings: DataFrame, kernel: Callable, schema: str, lim: Limits, key: str, point_id: str, lat: str, lng: str, time: str) -> tuple[DataFrame, Cuts]:
+def scan(pings: DataFrame, kernel: Callable, schema: str, lim: Limits, key: str, point_id: str, lat: str, lng: str, time: str, fits: Callable) -> tuple[DataFrame, Cuts]:
     """``kernel(table of distinct ids, first row of each distinct ping, us, y, x, starts, spikes, stuck)`` over the ordered plausible pings.
 
     Two passes share one shuffle by (key, chunk): the first profiles each chunk, whose small states give each source's
-    normal speed; the second flags.
+    normal speed; the second flags. Hot sources are cut where ``fits`` allows it.
     """
     rows = _rows(pings, key, point_id, lat, lng, time).where(F.col("k").isNotNull() & F.col("us").between(lim.first, lim.end - 1) & ~lim.no_place() & F.col("y").isNotNull() & F.col("x").isNotNull())
     kind = rows.schema["k"].dataType.simpleString()
-    cuts = quiet_cuts(rows.select("k", "us", "y", "x"), find_cuts(rows.select("k", "us"), "k", "us", pings.count()))
+    order = ["us", "y", "x"]
+    cuts = moved_cuts(rows.select("k", *order), find_cuts(rows.select("k", *order), "k", order, ordered.CHUNK_ROWS // 2), fits)
     keys = ["k", "chunk"] if cuts else ["k"]
     # The filter is what the join below would infer; stated here, both passes have the same plan and so share the exchange.
-    spread = cuts.spread(rows, "us", ["k", "us", "y", "x", "id"]).where(" and ".join(f"{c} is not null" for c in keys)).repartition(*keys)
-    order = ["k", "chunk", "us", "y", "x", "id"]
+    spread = cuts.spread(rows, ["k", "us", "y", "x", "id"]).where(" and ".join(f"{c} is not null" for c in keys)).repartition(*keys)
+    sorting = ["k", "chunk", *order, "id"]
 
     def distinct(t: pa.Table, starts: np.ndarray):
         new = starts.copy()
@@ -286,15 +341,17 @@ def scan(pings: DataFrame, kernel: Callable, schema: str, lim: Limits, key: str,
             _, us, y, x, s = distinct(t, starts)
             at, total, reps, (g, b, v) = profile(us, y, x, s, lim)
             offsets = pa.array(np.searchsorted(g, np.arange(len(at) + 1)).astype(np.int32))
-            rows = np.flatnonzero(starts)
+            rows, end = np.flatnonzero(starts), at + total - 1
             yield pa.record_batch(
-                [t.column("k").take(pa.array(rows)).combine_chunks(), t.column("chunk").take(pa.array(rows)).combine_chunks(), total, reps, pa.ListArray.from_arrays(offsets, pa.array(b.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(v))],
-                names=["k", "chunk", "n", "reps", "bins", "tops"],
+                [t.column("k").take(pa.array(rows)).combine_chunks(), t.column("chunk").take(pa.array(rows)).combine_chunks(), total, reps, pa.ListArray.from_arrays(offsets, pa.array(b.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(v)), y[at], x[at], y[end], x[end]],
+                names=["k", "chunk", "n", "reps", "bins", "tops", "y0", "x0", "y1", "x1"],
             )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_groups(batches, ["k"]):
-            n, reps, at = column(t, "n"), column(t, "reps"), np.flatnonzero(starts)
+            n, reps, at = column(t, "n"), column(t, "reps").copy(), np.flatnonzero(starts)
+            y0, x0, y1, x1 = (column(t, c) for c in ("y0", "x0", "y1", "x1"))
+            reps[1:] += ~starts[1:] & (y0[1:] == y1[:-1]) & (x0[1:] == x1[:-1])  # repeats across cuts
             bins, tops = (t.column(c).chunk(0) for c in ("bins", "tops"))
             ends = bins.offsets.to_numpy()
             b, v = bins.values.to_numpy(), tops.values.to_numpy()
@@ -303,7 +360,7 @@ def scan(pings: DataFrame, kernel: Callable, schema: str, lim: Limits, key: str,
             many = upto - at
             yield pa.record_batch([t.column("k").chunk(0), t.column("chunk").chunk(0), np.repeat(speed, many), np.repeat(np.add.reduceat(n, at), many), np.repeat(np.add.reduceat(reps, at), many)], names=["pk", "pchunk", "speed", "n", "reps"])
 
-    states = spread.sortWithinPartitions(*order).mapInArrow(first, f"k {kind}, chunk int, n long, reps long, bins array<int>, tops array<double>")
+    states = spread.sortWithinPartitions(*sorting).mapInArrow(first, f"k {kind}, chunk int, n long, reps long, bins array<int>, tops array<double>, y0 double, x0 double, y1 double, x1 double")
     sources = states.repartition("k").sortWithinPartitions("k", "chunk").mapInArrow(join, f"pk {kind}, pchunk int, speed double, n long, reps long")
     on = (F.col("k") == F.col("pk")) & (F.col("chunk") == F.col("pchunk")) if cuts else F.col("k") == F.col("pk")
     told = spread.join(sources.hint("shuffle_hash"), on).select("id", "k", "us", "y", "x", "chunk", "speed", "n", "reps")
@@ -314,7 +371,7 @@ def scan(pings: DataFrame, kernel: Callable, schema: str, lim: Limits, key: str,
             sharp, held = flags(us, y, x, s, column(t, "speed")[at], (column(t, "reps")[at], column(t, "n")[at]), lim)
             yield from kernel(t, at, us, y, x, s, sharp, held)
 
-    return told.sortWithinPartitions(*order).mapInArrow(second, schema), cuts
+    return told.sortWithinPartitions(*sorting).mapInArrow(second, schema), cuts
 
 
 def _rows(pings: DataFrame, key: str, point_id: str, lat: str, lng: str, time: str) -> DataFrame:
@@ -339,5 +396,5 @@ def faults(pings: DataFrame, key: str = "uid", point_id: str = "ping_id", lat: s
             yield pa.record_batch([t.column("id").take(i).combine_chunks(), t.column("k").take(i).combine_chunks(), pa.array([name] * len(i), pa.string())], names=["id", "k", "kind"])
 
     kinds = f"id {rows.schema['id'].dataType.simpleString()}, k {rows.schema['k'].dataType.simpleString()}, kind string"
-    moved, _ = scan(pings, kernel, kinds, lim, key, point_id, lat, lng, time)
+    moved, _ = scan(pings, kernel, kinds, lim, key, point_id, lat, lng, time, lambda us, y, x, starts: calm(us, y, x, starts, lim))
     return plain.unionByName(moved).distinct().select(F.col("id").alias(point_id), F.col("k").alias(key), "kind")

@@ -54,8 +54,7 @@ def path_measures(pings: DataFrame, key: str = "uid", lat: str = "lat", lng: str
     ordered by position. A chunk's state is (first, last, sums, maxima); states of a hot key's chunks are merged in order.
     """
     rows = pings.select(F.col(key).alias("k"), micros(time).alias("us"), F.col(lat).cast("double").alias("y"), F.col(lng).cast("double").alias("x")).dropna()
-    cuts = find_cuts(rows.select("k", "us"), "k", "us", pings.count())
-    rows = cuts.spread(rows, "us", ["k", "us", "y", "x"])
+    rows = find_cuts(rows, "k", ["us", "y", "x"]).spread(rows, ["k", "us", "y", "x"])
 
     def kernel(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = starts.copy()
@@ -75,7 +74,7 @@ def path_measures(pings: DataFrame, key: str = "uid", lat: str = "lat", lng: str
 
     kind = rows.schema["k"].dataType.simpleString()
     states = ordered_map(rows, "k", ["us", "y", "x"], kernel, f"k {kind}, chunk int, n long, us0 long, y0 double, x0 double, us1 long, y1 double, x1 double, path double, jump double, wait double")
-    w = Window.partitionBy("k").orderBy("us0", "chunk")  # one row per chunk
+    w = Window.partitionBy("k").orderBy("chunk")  # one row per chunk
     step = haversine_km(F.lag("y1").over(w), F.lag("x1").over(w), F.col("y0"), F.col("x0"))
     states = states.withColumns({"step": F.coalesce(step, F.lit(0.0)), "pause": F.coalesce((F.col("us0") - F.lag("us1").over(w)) / F.lit(1e6), F.lit(0.0))})
     return states.groupBy(F.col("k").alias(key)).agg(

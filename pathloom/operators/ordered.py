@@ -1,7 +1,8 @@
 """Ordered per-key work that stays balanced when one key holds a large part of all rows.
 
 Rows are spread by (key, chunk) in one shuffle. A key with few rows is one group (chunk -1). A hot key is cut along
-its order column into chunks of bounded size; what spans a cut is joined afterwards from compact states, two per chunk.
+its order columns into chunks of a size that doesn't grow with the data; what spans a cut is joined afterwards from
+compact states, two per chunk.
 """
 
 from __future__ import annotations
@@ -16,12 +17,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A key with fewer rows is never cut.
-LEAST_CHUNK_ROWS = 100_000
-#: At most so many keys are hot, whatever the input: a key with less than this part of all rows isn't. Each is cut at 64
-#: places or more, and the places (at most about 65 times as many) are collected and sent to every task.
-MOST_HOT = 20_000
-KNOTS = 64
+from pathloom.session import written
+
+#: Rows of a chunk, whatever the input; a key with clearly fewer isn't cut, and hardly any group has twice as many.
+CHUNK_ROWS = 100_000
+#: Rows of a chunk's share in the sample from which cuts are taken.
+SAMPLE = 256
+#: Cuts that are sent to every task (about 24 bytes each). Of more, every ``FAN_OUT``-th is sent, and rows meet the others in a join.
+MOST_CUTS = 1_000_000
+FAN_OUT = 1024
 
 
 def micros(column) -> Column:
@@ -29,65 +33,134 @@ def micros(column) -> Column:
     return F.unix_micros((F.col(column) if isinstance(column, str) else column).cast("timestamp"))
 
 
+def _below(bounds: list[np.ndarray], rows: list[np.ndarray]) -> np.ndarray:
+    """For each row the number of bounds that are not above it, in the order of the columns; both are lists of columns, bounds sorted."""
+    lo, hi = (np.searchsorted(bounds[0], rows[0], side) for side in ("left", "right"))
+    out = hi
+    tied = np.flatnonzero(hi > lo) if len(bounds) > 1 else ()
+    if len(tied):
+        for a in np.unique(lo[tied]):
+            own = tied[lo[tied] == a]
+            out[own] = a + _below([c[a : hi[own[0]]] for c in bounds[1:]], [c[own] for c in rows[1:]])
+    return out
+
+
+def _ranked(column: pa.Array) -> np.ndarray:
+    """A column as numbers in Spark's order: nulls first."""
+    if pa.types.is_floating(column.type):
+        return column.fill_null(-np.inf).to_numpy(zero_copy_only=False)
+    return column.fill_null(np.iinfo(np.int64).min).cast(pa.int64()).to_numpy(zero_copy_only=False)
+
+
 @dataclasses.dataclass
 class Cuts:
-    """Where hot keys are cut: per key the ascending positions of the order column at which its chunks after the first begin."""
+    """Where hot keys are cut: the rows at which their chunks after the first begin.
+
+    ``bounds``: by key the columns of ``order``, ascending. ``fine``: None, or a table ``_ck, _coarse, _fine`` with the bounds
+    between those, for inputs with more cuts than are sent to every task.
+    """
 
     key: str
+    order: list[str]
     bounds: dict
+    fine: DataFrame | None = None
 
     def __bool__(self) -> bool:
         return bool(self.bounds)
 
-    def keys(self) -> list:
-        return list(self.bounds)
-
-    def spread(self, df: DataFrame, order: str, copies: list[str] | None = None) -> DataFrame:
+    @classmethod
+    def of(cls, table: DataFrame, key: str, order: list[str]) -> Cuts:
+        """Cuts from a table of bounds, which is written in between."""
+        table = written(table.select(key, *order), "cuts")
+        fine = None
+        if table.count() > MOST_CUTS:
+            w = Window.partitionBy(key).orderBy(*order)
+            table = written(table.withColumn("_n", F.row_number().over(w)), "cuts")
+            coarse = F.floor((F.col("_n") - 1) / F.lit(FAN_OUT)).cast("int")
+            fine = table.withColumn("_coarse", coarse).where(F.pmod("_n", F.lit(FAN_OUT)) != 1)
+            fine = fine.groupBy(F.col(key).alias("_ck"), (F.col("_coarse") + 1).alias("_coarse")).agg(F.sort_array(F.collect_list(F.struct(*order))).alias("_fine"))  # under FAN_OUT each
+            table = table.where(F.pmod("_n", F.lit(FAN_OUT)) == 1).drop("_n")
+        by: dict = {}
+        for r in table.collect():  # at most MOST_CUTS, or a FAN_OUT-th of all
+            by.setdefault(r[0], []).append(tuple(r)[1:])
+        kinds = [np.float64 if isinstance(f.dataType, T.DoubleType) else np.int64 for f in table.select(*order).schema.fields]
+        return cls(key, list(order), {k: [np.array(c, t) for c, t in zip(zip(*sorted(v)), kinds)] for k, v in by.items()}, fine)
+
+    def spread(self, df: DataFrame, copies: list[str] | None = None) -> DataFrame:
         """``df`` with its ``chunk``: -1 for keys that aren't hot. Rows equal in ``copies`` are combined map-side on the way (see :func:`drop_copies`)."""
         if not self.bounds and not copies:
             return df.withColumn("chunk", F.lit(-1))
-        key = self.key
-        held = df.sparkSession.sparkContext.broadcast({k: np.array(v, np.int64) for k, v in self.bounds.items()})  # at most about 65 * MOST_HOT entries
+        key, order = self.key, self.order
+        held = df.sparkSession.sparkContext.broadcast(self.bounds)  # at most MOST_CUTS entries
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bounds = held.value
-            hot = pa.array(list(bounds))
+            hot, known = pa.array(list(bounds)), None
             for b in batches:
                 if copies:
                     b = drop_copies(b, copies)
                 chunk = np.full(b.num_rows, -1, np.int32)
                 if bounds and b.num_rows:
-                    which = pc.index_in(b.column(key), hot.cast(b.column(key).type)).fill_null(-1).to_numpy(zero_copy_only=False)
-                    us = b.column(order).to_numpy(zero_copy_only=False)
-                    for j in np.unique(which[which >= 0]):
-                        own = which == j
-                        chunk[own] = np.searchsorted(bounds[hot[int(j)].as_py()], us[own], "right")
+                    known = hot.cast(b.column(key).type) if known is None else known
+                    which = pc.index_in(b.column(key), known).fill_null(-1).to_numpy(zero_copy_only=False)
+                    own_key = np.unique(which[which >= 0])
+                    columns = [_ranked(b.column(c)) for c in order] if len(own_key) else []
+                    for j in own_key:
+                        own = np.flatnonzero(which == j)
+                        chunk[own] = _below(bounds[hot[int(j)].as_py()], [c[own] for c in columns])
                 yield pa.record_batch([*b.columns, pa.array(chunk)], names=[*b.schema.names, "chunk"])
 
-        return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("chunk", T.IntegerType())]))
-
-
-def find_cuts(df: DataFrame, key: str, order: str, total: int | None = None, least: int | None = None) -> Cuts:
-    """The hot keys of ``df`` and where to cut them along the long column ``order``: at 64 quantiles, each span again cut
-    evenly so that chunks hold about ``least`` rows.
-
-    One map-side combined count by key; quantiles only over the rows of the hot keys. Nulls in either column are left out.
+        out = df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("chunk", T.IntegerType())]))
+        if self.fine is None:
+            return out
+        # chunk is coarse so far: what lies between two bounds that were sent meets those in between
+        row = F.struct(*[F.coalesce(F.col(c), F.lit(-np.inf if isinstance(df.schema[c].dataType, T.DoubleType) else -(2**63)).cast(df.schema[c].dataType)).alias(c) for c in order])
+        near = self.fine.withColumnRenamed("_coarse", "_cc")
+        out = out.join(near, (F.col(key) == F.col("_ck")) & (F.col("chunk") == F.col("_cc")), "left")
+        inner = F.coalesce(F.size(F.filter("_fine", lambda c: c <= row)), F.lit(0))
+        inner = F.when(F.col("_fine").isNull(), 0).otherwise(inner)
+        chunk = F.when(F.col("chunk") < 0, -1).otherwise(F.col("chunk") * F.lit(FAN_OUT) + inner).cast("int")
+        return out.select(*df.columns, chunk.alias("chunk"))
+
+
+def find_cuts(df: DataFrame, key: str, order: list[str], size: int | None = None) -> Cuts:
+    """Where to cut the hot keys of ``df`` along the columns ``order`` (long or double), so that chunks hold about ``size`` rows.
+
+    One pass takes an even sample, about ``SAMPLE`` rows for each chunk; in its order every so many-th row of a key begins
+    a chunk. A key with fewer sampled rows isn't hot. Ties in the first column are cut along the next, and so on; only rows
+    equal in all of them stay together. Nulls in key or the first column are left out.
     """
-    total = df.count() if total is None else total
-    size = max(least or LEAST_CHUNK_ROWS, total // MOST_HOT)
-    rows = df.where(F.col(key).isNotNull() & F.col(order).isNotNull())
-    hot = {r[0]: r[1] for r in rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > size).collect()}  # at most MOST_HOT keys
-    if not hot:
-        return Cuts(key, {})
-    at = [i / KNOTS for i in range(KNOTS + 1)]
-    grid = F.percentile_approx(order, F.array(*[F.lit(x) for x in at]), F.lit(2000))
-    bounds = {}
-    for r in rows.where(F.col(key).isin(list(hot))).groupBy(key).agg(grid.alias("knots")).collect():
-        m = -(-hot[r[0]] // (size * KNOTS))
-        knots = np.array(r[1], np.int64)
-        inner = [lo + (hi - lo) * i // m for lo, hi in zip(knots[:-1], knots[1:]) for i in range(m)]
-        bounds[r[0]] = np.unique(np.array(inner[1:], np.int64)).tolist()
-    return Cuts(key, bounds)
+    size = size or CHUNK_ROWS
+    each = min(SAMPLE, size)
+    names = [f"_c{i}" for i in range(len(order))]
+    rows = df.where(F.col(key).isNotNull() & F.col(order[0]).isNotNull()).select(F.col(key).alias("_k"), *[F.col(c).alias(n) for c, n in zip(order, names)])
+    sample = rows.where(F.rand(20110201) < F.lit(each / size)) if each < size else rows
+    for c, n in zip(order, names):
+        least = F.lit(float("-inf")) if isinstance(df.schema[c].dataType, T.DoubleType) else F.lit(-(2**63)).cast("long")
+        sample = sample.withColumn(n, F.coalesce(F.col(n), least))
+    sample = written(sample, "sample")
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k = b.column(0)
+            new = np.r_[k[0].as_py() != last, changed(k)]
+            at = np.flatnonzero(new)
+            place = np.arange(b.num_rows) + (0 if new[0] else n)
+            if len(at):
+                place[at[0] :] = np.arange(at[0], b.num_rows) - np.repeat(at, np.diff(np.r_[at, b.num_rows]))
+            last, n = k[b.num_rows - 1].as_py(), int(place[-1]) + 1
+            yield b.take(pa.array(np.flatnonzero((place > 0) & (place % each == 0))))
+
+    hot = sample.groupBy("_k").agg(F.count("*").alias("_n")).where(F.col("_n") > each)
+    if not hot.limit(1).count():
+        return Cuts(key, list(order), {})
+    near = sample.join(hot.select("_k"), "_k", "left_semi").select("_k", *names)
+    picked = near.orderBy("_k", *names).mapInArrow(pick, near.schema)
+    cuts = Cuts.of(picked.distinct(), "_k", names)
+    return Cuts(key, list(order), cuts.bounds, cuts.fine)
 
 
 def drop_copies(b: pa.RecordBatch, keys: list[str]) -> pa.RecordBatch:
@@ -183,16 +256,16 @@ def with_previous(df: DataFrame, key: str, order: list[str], values: dict[str, s
     # The row itself is packed, so that no column of it can clash with those in between.
     rows = df.where(F.col(key).isNotNull() & F.col(time).isNotNull())
     rows = rows.select(F.col(key).alias("_k"), micros(time).alias("_us"), F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]).alias("_o"), F.struct("*").alias("_row"))
-    cuts = find_cuts(rows.select("_k", "_us"), "_k", "_us")
+    cuts = find_cuts(rows.select("_k", "_us"), "_k", ["_us"])
     by = ["_k"]
     if cuts:
-        rows, by = cuts.spread(rows, "_us"), ["_k", "chunk"]
+        rows, by = cuts.spread(rows), ["_k", "chunk"]
     own = F.struct(*[F.col("_row")[c].alias(n) for n, c in values.items()])
     rows = rows.withColumn("_prev", F.lag(own).over(Window.partitionBy(*by).orderBy("_o")))
     if cuts:
         last = rows.where("chunk >= 0").groupBy("_k", "chunk").agg(F.max(F.struct("_o", own.alias("_own")))["_own"].alias("_own"))
         before = last.withColumn("_edge", F.lag("_own").over(Window.partitionBy("_k").orderBy("chunk"))).select(F.col("_k").alias("_k2"), F.col("chunk").alias("_c"), "_edge")
-        rows = rows.join(F.broadcast(before), (F.col("_k") == F.col("_k2")) & (F.col("chunk") == F.col("_c")), "left")  # a row per chunk, at most about 65 * MOST_HOT
+        rows = rows.join(before, (F.col("_k") == F.col("_k2")) & (F.col("chunk") == F.col("_c")), "left")  # a row per chunk
         rows = rows.withColumn("_prev", F.coalesce("_prev", "_edge"))
     return rows.select(*[F.col("_row")[c].alias(c) for c in df.columns], *[F.col("_prev")[n].alias(n) for n in values])
 

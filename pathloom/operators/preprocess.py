@@ -35,10 +35,11 @@ def _leaps(rows: DataFrame, keys: list[str], radius_km: float) -> tuple[Cuts | N
     follows: (us, lat, lng). None if nobody is hot."""
     if keys != ["uid"]:
         return None, {}
-    cuts = find_cuts(rows.select("uid", "_us"), "uid", "_us")
+    order = ["_us", "lat", "lng"]
+    cuts = find_cuts(rows.select("uid", *order), "uid", order)
     if not cuts:
         return None, {}
-    hot = cuts.spread(rows.where(F.col("uid").isin(cuts.keys())).select("uid", "_us", "lat", "lng"), "_us")
+    hot = cuts.spread(rows.select("uid", *order)).where("chunk >= 0")
 
     def kernel(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         us, y, x = _arrays(t)
@@ -49,12 +50,12 @@ def _leaps(rows: DataFrame, keys: list[str], radius_km: float) -> tuple[Cuts | N
         yield pa.record_batch([t.column("uid").take(pa.array(at)).combine_chunks(), us[at], y[at], x[at]], names=["uid", "us", "lat", "lng"])
 
     kind = rows.schema["uid"].dataType.simpleString()
-    found: dict = {k: [] for k in cuts.keys()}
+    found: dict = {k: [] for k in cuts.bounds}
     for r in ordered_map(hot, "uid", ["_us", "lat", "lng"], kernel, f"uid {kind}, us long, lat double, lng double").collect():  # at most one row per chunk
         found[r[0]].append((r[1], r[2], r[3]))
     found = {k: sorted(v) for k, v in found.items()}
     follows = {(k, c): p for k, v in found.items() for c, p in enumerate(v)}
-    return Cuts("uid", {k: [p[0] for p in v] for k, v in found.items()}), follows
+    return Cuts("uid", ["_us"], {k: [np.array([p[0] for p in v], np.int64)] for k, v in found.items()}), follows
 
 
 def _arrays(t: pa.Table):
@@ -190,7 +191,7 @@ def _folded(rows: DataFrame, keys: list[str], cuts: Cuts | None, kernel, schema)
     order = ["_us", "lat", "lng"]
     if cuts is None or "chunk" in rows.columns:
         return grouped_map(rows, keys, order, kernel, schema)
-    return ordered_map(cuts.spread(rows, "_us"), "uid", order, kernel, schema)
+    return ordered_map(cuts.spread(rows), "uid", order, kernel, schema)
 
 
 def _medians(v: np.ndarray, at: np.ndarray) -> np.ndarray:

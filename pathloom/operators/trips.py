@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.geo import EARTH_RADIUS_KM, haversine_np, unit_vectors
-from pathloom.operators.faults import Limits, scan
+from pathloom.operators.faults import Limits, moving, scan
 from pathloom.operators.near import chord
 from pathloom.session import written
 
@@ -206,7 +206,7 @@ def stops_and_trips(pings: DataFrame, key: str = "uid", point_id: str = "ping_id
 
     kind = pings.schema[key].dataType.simpleString()
     schema = f"kind string, k {kind}, chunk int, start_us long, end_us long, n long, distance_km double, lat double, lng double, some boolean, us0 long, y0 double, x0 double, us1 long, y1 double, x1 double, before double, gap_before boolean, after double, gap_after boolean"
-    parts, cuts = scan(pings, kernel, schema, lim, key, point_id, lat, lng, time)
+    parts, cuts = scan(pings, kernel, schema, lim, key, point_id, lat, lng, time, moving)
     names = ["kind", "k", "start_us", "end_us", "n", "distance_km", "lat", "lng"]
     if cuts:
         parts = written(parts, "trips")

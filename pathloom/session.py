@@ -32,13 +32,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table written to the shared folder: cuts lineage and survives the loss of executors."""
+    """``df`` as a table written to the shared folder: cuts lineage and survives the loss of executors. :func:`clean` deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _WRITTEN:
+        atexit.register(clean, spark)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: list[str] = []
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes the tables that operators have written in between, and tells how many. To be called when their results aren't
+    needed any more; a process that ends without it calls it then, if the session still answers."""
+    done = 0
+    while _WRITTEN:
+        path = _WRITTEN.pop()
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            done += bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
+        except Exception:  # the session has ended: what is left lies in the folder the cluster cleans
+            break
+    return done
+
+
 def ship(spark: SparkSession) -> None:
     """Makes the package importable in Python workers, wherever they start. Once per context."""
     sc = spark.sparkContext

@@ -4,50 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pathloom.operators.timers import Timer
 
-def session_stream(events: DataFrame, key: str = "uid", time: str = "datetime", gap_s: float = 1800, late: str = "10 minutes") -> DataFrame:
+
+def session_stream(events: DataFrame, key: str = "uid", time: str = "datetime", gap_s: float = 1800, late: str = "60 days") -> DataFrame:
     """``key``, ``start_us``, ``end_us``, ``n`` of each session once its timer has run out (append mode).
 
-    Events wait in the key's state until the watermark (``late`` behind the newest event) has passed them, so that they
-    update the open session in order, each setting its timer to its own time plus ``gap_s``. The timer that runs out, by a
-    later event or by the watermark alone, emits the session. Events later than the watermark are dropped by it.
+    The key's state holds its sessions that aren't final yet, as (start, last, n): not events, so waiting long for late ones
+    costs little. New events, late ones too, run through the timer together with these pieces, in order; a session is emitted
+    when the watermark (``late`` behind the newest event) has passed its timer, as nothing can reach it then. Results are
+    those of the batch operator as long as no event is later than ``late``; what is later, Spark's watermark drops.
     """
     gap = int(gap_s * 1e6)
     kind = events.schema[key].dataType.simpleString()
     rows = events.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(F.col(key).alias("k"), F.col(time).cast("timestamp").alias("t")).withWatermark("t", late)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, last, n, waiting = state.get if state.exists else (None, None, 0, [])
-        waiting = list(waiting)
-        if not state.hasTimedOut:
-            for b in batches:
-                waiting += (b["t"].astype("datetime64[us]").astype("int64")).tolist()
-        passed = state.getCurrentWatermarkMs() * 1000
-        ready, waiting = sorted(w for w in waiting if w <= passed), [w for w in waiting if w > passed]
-        out = []
-        for us in ready:
-            if last is not None and us > last + gap:
-                out.append((k[0], start, last, n))
-                last = None
-            start, last, n = (us, us, 1) if last is None else (start, us, n + 1)
-        if last is not None and not any(w <= last + gap for w in waiting) and passed > last + gap:
-            out.append((k[0], start, last, n))
-            last = None
-        if last is None and not waiting:
+        pieces = [np.array(c, np.int64) for c in (state.get if state.exists else ([], [], []))]
+        events = [] if state.hasTimedOut else [b["t"].astype("datetime64[us]").astype("int64").to_numpy() for b in batches]
+        us = np.concatenate([pieces[0], *events])
+        last, n = (np.concatenate([c, *(e if v is None else np.full(len(e), v) for e in events)]) for c, v in ((pieces[1], None), (pieces[2], 1)))
+        o = np.lexsort((last, us))
+        timer, passed = Timer(gap), state.getCurrentWatermarkMs() * 1000
+        start, last, n, *_ = timer.advance(us[o], last[o], n[o])
+        if (open_ := timer.expire()) is not None:
+            start, last, n = (np.r_[c, v] for c, v in zip((start, last, n), open_))
+        final = last + gap < passed
+        if final.all():
             state.remove()
         else:
-            state.update((start if last is not None else None, last, n if last is not None else 0, waiting))
-            wake = min([*waiting, *([last + gap] if last is not None else [])]) // 1000 + 1
-            state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["k", "start_us", "end_us", "n"])
+            state.update(tuple(c[~final].tolist() for c in (start, last, n)))
+            state.setTimeoutTimestamp(max((int(last[~final].min()) + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if final.any():
+            yield pd.DataFrame({"k": k[0], "start_us": start[final], "end_us": last[final], "n": n[final]})
 
-    done = rows.groupBy("k").applyInPandasWithState(step, f"k {kind}, start_us long, end_us long, n long", "start long, last long, n long, waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    done = rows.groupBy("k").applyInPandasWithState(step, f"k {kind}, start_us long, end_us long, n long", "start array<long>, last array<long>, n array<long>", "append", GroupStateTimeout.EventTimeTimeout)
     return done.select(F.col("k").alias(key), "start_us", "end_us", "n")
 
 

@@ -80,7 +80,7 @@ def test_hot_individual_is_cut(twenty, monkeypatch):
     from pathloom.operators import ordered
 
     whole = sorted(map(tuple, i.jumps(twenty).collect()))
-    monkeypatch.setattr(ordered, "LEAST_CHUNK_ROWS", 2)
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", 2)
     assert sorted(map(tuple, i.jumps(twenty).collect())) == whole
 
 

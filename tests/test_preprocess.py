@@ -100,7 +100,7 @@ def test_hot_individuals_are_cut(spark, monkeypatch):
             rows.append((uid, float(v), 9.0, t, "x"))
     df = spark.createDataFrame(rows, "uid long, lat double, lng double, datetime timestamp_ntz, note string")
     for f in (lambda: p.compress(df, 0.2), lambda: p.stay_locations(df), lambda: p.stay_locations(df, min_speed_kmh=1.0), lambda: p.stay_locations(df, no_data_for_minutes=7)):
-        monkeypatch.setattr(ordered, "LEAST_CHUNK_ROWS", 100_000)
+        monkeypatch.setattr(ordered, "CHUNK_ROWS", 100_000)
         whole = sorted(map(tuple, f().collect()))
-        monkeypatch.setattr(ordered, "LEAST_CHUNK_ROWS", 100)
+        monkeypatch.setattr(ordered, "CHUNK_ROWS", 100)
         assert sorted(map(tuple, f().collect())) == whole and whole

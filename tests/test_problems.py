@@ -67,7 +67,7 @@ def test_sessions(spark, table, monkeypatch):
 
     for copies in (["lat", "lng"], None):
         for least in (100_000, 50):
-            monkeypatch.setattr(ordered, "LEAST_CHUNK_ROWS", least)
+            monkeypatch.setattr(ordered, "CHUNK_ROWS", least)
             got = {(r.uid, r.start_us, r.end_us, r.n) for r in sessions.sessions(hostile(table), gap_s=45, copies=copies).collect()}
             assert got == plain(copies)
     assert sessions.sessions(table.limit(0)).count() == 0
@@ -84,12 +84,54 @@ def test_keyed(spark, table, monkeypatch):
     one = as_pandas(table.where("uid = 2")).drop_duplicates(["datetime", "lat", "lng"]).sort_values("datetime")
     d = haversine_np(one.lat.to_numpy()[:-1], one.lng.to_numpy()[:-1], one.lat.to_numpy()[1:], one.lng.to_numpy()[1:])
     for least in (100_000, 40):
-        monkeypatch.setattr(ordered, "LEAST_CHUNK_ROWS", least)
+        monkeypatch.setattr(ordered, "CHUNK_ROWS", least)
         m = {r.uid: r for r in keyed.path_measures(hostile(table)).collect()}
         assert m[2].path_km == pytest.approx(d.sum()) and m[2].longest_jump_km == pytest.approx(d.max()) and m[2].n == len(one)
         assert m[4].n == 1 and m[4].path_km == 0 and 5 not in m and None not in m
 
 
+@pytest.fixture(scope="module")
+def lopsided(spark):
+    """A key with half of all rows, one with a single time, one that never moves (but for its scatter), one that stands on one spot, and small ones."""
+    id_ = F.col("id")
+    uid = F.when(id_ % 2 == 0, 1).when(id_ % 8 == 1, 2).when(id_ % 8 == 3, 3).when(id_ % 8 == 5, 4).otherwise(10 + id_ % 400).cast("long")
+    us = F.when(uid == 2, F.lit(1_300_000_000_000_000)).otherwise(1_300_000_000_000_000 + id_ * 10_000_000 + F.pmod(F.xxhash64("id"), F.lit(3_000_000)))
+    scatter = lambda seed: (F.rand(seed) - 0.5) * 2e-4
+    lat = F.when(uid == 1, 45 + F.abs(F.pmod(id_, F.lit(4000)) - 2000) * 1e-3 + scatter(1)).when(uid == 2, F.rand(2) * 50).when(uid == 4, 45.0).otherwise(45 + scatter(3))
+    df = spark.range(0, 64_000, 1, 4).select(id_.alias("ping_id"), uid.alias("uid"), lat.alias("lat"), F.when(uid == 4, 9.0).otherwise(9 + scatter(4)).alias("lng"), F.timestamp_micros(us).cast("timestamp_ntz").alias("datetime"))
+    return df.cache()
+
+
+@pytest.mark.parametrize("sent", [1_000_000, 5])
+def test_groups_stay_small(spark, lopsided, monkeypatch, sent):
+    """No group has more than twice the rows of a chunk, whatever its key does, and results don't change."""
+    whole = [f(lopsided).collect() for f in (sessions.sessions, keyed.path_measures, faults.faults)]
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", 2000)
+    monkeypatch.setattr(ordered, "MOST_CUTS", sent)
+    monkeypatch.setattr(ordered, "FAN_OUT", 4)
+    rows = lopsided.select(F.col("uid").alias("k"), ordered.micros("datetime").alias("us"), F.col("lat").alias("y"), F.col("lng").alias("x"))
+    cuts = ordered.find_cuts(rows, "k", ["us", "y", "x"])
+    assert (cuts.fine is None) == (sent > 5)
+    parts = cuts.spread(rows).groupBy("k", "chunk").agg(F.count("*").alias("n"), F.min(F.struct("us", "y", "x")).alias("a"), F.max(F.struct("us", "y", "x")).alias("b"))
+    sizes = {}
+    for r in parts.orderBy("k", "chunk").collect():
+        sizes.setdefault(r.k, []).append(r)
+    assert max(r.n for own in sizes.values() for r in own) <= 4000 and sum(r.n for own in sizes.values() for r in own) == 64_000
+    assert all(len(sizes[k]) >= 3 for k in (1, 2, 3, 4)) and all(len(own) == 1 for k, own in sizes.items() if k >= 10)
+    assert all(r.b < s.a for own in sizes.values() for r, s in zip(own, own[1:]))  # chunks are in order
+    # cuts of faults move to calm pings; there is one in every chunk, of standing sources too
+    lim = faults.Limits()
+    calm = faults.moved_cuts(rows, cuts, lambda *a: faults.calm(*a, lim))
+    moved = calm.spread(rows).groupBy("k", "chunk").count().collect()
+    assert max(r["count"] for r in moved if r.k != 2) <= 4000
+    for f, want in zip((sessions.sessions, keyed.path_measures, faults.faults), whole):
+        got = f(lopsided).collect()
+        if f is keyed.path_measures:
+            assert {(r.uid, r.n, round(r.path_km, 4), r.longest_wait_s) for r in got} == {(r.uid, r.n, round(r.path_km, 4), r.longest_wait_s) for r in want}
+        else:
+            assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def place_rows():
     ring = [(8.999, 44.999), (9.001, 44.999), (9.001, 45.001), (8.999, 45.001), (8.999, 44.999)]
     hole = [(8.9995, 44.9995), (9.0005, 44.9995), (9.0005, 45.0005), (8.9995, 45.0005), (8.9995, 44.9995)]
@@ -155,7 +197,7 @@ def test_faults(spark, monkeypatch):
     truth |= {base: "no_place", base + 1: "no_place", base + 2: "no_place", base + 3: "no_time"}
     df = hostile(pings(spark, rows + extra)).cache()
     for least in (100_000, 300):
-        monkeypatch.setattr(ordered, "LEAST_CHUNK_ROWS", least)
+        monkeypatch.setattr(ordered, "CHUNK_ROWS", least)
         assert {r.ping_id: r.kind for r in faults.faults(df).collect()} == truth
     copies = df.unionByName(df.withColumn("ping_id", F.col("ping_id") + 100_000))
     assert faults.faults(copies).count() == 2 * len(truth)
@@ -246,7 +288,7 @@ def test_trips(spark, monkeypatch):
         want |= {("stop", uid, int(us[a]), int(us[b])) for a, b in found}
         want |= {("trip", uid, int(us[b]), int(us[a])) for (_, b), (a, _) in zip(found, found[1:])}
     for least in (100_000, 400):
-        monkeypatch.setattr(ordered, "LEAST_CHUNK_ROWS", least)
+        monkeypatch.setattr(ordered, "CHUNK_ROWS", least)
         assert {(r.kind, r.uid, r.start_us, r.end_us) for r in trips.stops_and_trips(df).collect()} == want
     assert trips.stops_and_trips(df.limit(0)).count() == 0
 
