@@ -24,8 +24,8 @@ def collapse_runs(events: DataFrame, key: str = "uid", time: str = "datetime", l
     """
     gap = int(round(gap_s * 1e6))
     rows = events.select(F.col(key).alias("k"), micros(time).alias("us"), F.col(lat).cast("double").alias("y"), F.col(lng).cast("double").alias("x")).dropna()
-    cuts = find_cuts(rows.select("k", "us"), "k", "us", events.count())
-    rows = cuts.spread(rows, "us", ["k", "us", "y", "x"])
+    cuts = find_cuts(rows, "k", ["us", "y", "x"])
+    rows = cuts.spread(rows, ["k", "us", "y", "x"])
 
     def kernel(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = starts.copy()
@@ -42,16 +42,16 @@ def collapse_runs(events: DataFrame, key: str = "uid", time: str = "datetime", l
         last = np.r_[first[1:], True]
         hot = column(t, "chunk")[at] >= 0
         yield pa.record_batch(
-            [t.column("k").take(pa.array(at)).combine_chunks(), us[at], us[end], np.bincount(run).astype(np.int64), y[at], x[at], y[end], x[end], hot & first, hot & last],
-            names=["k", "start_us", "end_us", "n", "y0", "x0", "y1", "x1", "first", "last"],
+            [t.column("k").take(pa.array(at)).combine_chunks(), t.column("chunk").take(pa.array(at)).combine_chunks(), us[at], us[end], np.bincount(run).astype(np.int64), y[at], x[at], y[end], x[end], hot & first, hot & last],
+            names=["k", "chunk", "start_us", "end_us", "n", "y0", "x0", "y1", "x1", "first", "last"],
         )
 
     kind = rows.schema["k"].dataType.simpleString()
-    parts = ordered_map(rows, "k", ["us", "y", "x"], kernel, f"k {kind}, start_us long, end_us long, n long, y0 double, x0 double, y1 double, x1 double, first boolean, last boolean")
+    parts = ordered_map(rows, "k", ["us", "y", "x"], kernel, f"k {kind}, chunk int, start_us long, end_us long, n long, y0 double, x0 double, y1 double, x1 double, first boolean, last boolean")
     if cuts:
         # What touches a cut: at most two rows per chunk of the hot keys.
         parts = written(parts, "runs")
-        w = Window.partitionBy("k").orderBy("start_us", "end_us", "y0", "x0")
+        w = Window.partitionBy("k").orderBy("chunk", "start_us", "end_us", "y0", "x0")
         joined = F.col("first") & F.lag("last").over(w) & (F.col("start_us") - F.lag("end_us").over(w) <= gap) & (haversine_km(F.lag("y1").over(w), F.lag("x1").over(w), F.col("y0"), F.col("x0")) <= near_km)
         run = F.sum((~F.coalesce(joined, F.lit(False))).cast("long")).over(w)
         head = F.min(F.struct("start_us", "end_us", "y0", "x0"))
