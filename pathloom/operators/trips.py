@@ -1,9 +1,9 @@
 """Stops and trips of moving sources from their pings.
 
 Positions as points in space are averaged over short slots and denoised by total variation, which leaves piecewise
-constant plateaus. Plateaus that may last long enough mark where stays are sought; an exact check on the pings
-themselves then finds each stay: the longest stretch from some ping on that stays within a radius of it. Minimum-duration
-stays are stops, and the original path between consecutive stops is a trip.
+constant plateaus. Plateaus that may last long enough are trimmed by an exact check on the pings themselves to stays: the
+longest stretch from some ping on that stays within a radius of it. Minimum-duration stays are stops, and the original
+path between consecutive stops is a trip.
 """
 
 from __future__ import annotations
@@ -76,13 +76,13 @@ def total_variation(z: np.ndarray, penalty: float) -> np.ndarray:
     return np.array(out)
 
 
-def plateaus(us, p, starts, stay: Stay) -> np.ndarray:
-    """Which pings may begin a stay, p being their unit vectors: those in, or within three slots of, a plateau of the denoised
-    path that lasts ``least_s`` or more together with the slots before and after it.
+def plateaus(us, p, starts, stay: Stay) -> list[tuple[int, int]]:
+    """The plateaus of the denoised path that last ``least_s`` or more together with the slots before and after them, as ranges of
+    pings with three slots to spare on either side; ranges that meet are one. p are the pings' unit vectors.
 
-    No stay is lost: the slots that lie wholly inside one have averages within the radius of its first ping, as a ball is
-    convex, and total variation makes no jump larger; so they are on one plateau, and the first and last ping, whose slots
-    may hold pings of the way there and on, are at most one slot off.
+    Every stay lies within one range: the slots that lie wholly inside a stay have averages within the radius of its first
+    ping, as a ball is convex, and total variation makes no jump larger; so they are on one plateau, and the first and last
+    ping, whose slots may hold pings of the way there and on, are at most one slot off.
     """
     n = len(us)
     group = np.cumsum(starts)
@@ -108,11 +108,15 @@ def plateaus(us, p, starts, stay: Stay) -> np.ndarray:
     mark = np.zeros(len(at) + 1, np.int64)
     np.add.at(mark, np.maximum(head[long_] - 3, 0), 1)
     np.add.at(mark, np.minimum(tail[long_] + 4, len(at)), -1)
-    return np.repeat(np.cumsum(mark[:-1]) > 0, size)
+    on = np.r_[False, np.cumsum(mark[:-1]) > 0, False]
+    turns = np.flatnonzero(on[1:] != on[:-1])
+    at = np.r_[at, n]
+    return list(zip(at[turns[::2]].tolist(), at[turns[1::2]].tolist()))
 
 
 def stays(us, y, x, starts, stay: Stay) -> list[tuple[int, int]]:
-    """The exact check: (first, last) ping of each stop, from left to right; starts are sought on plateaus only."""
+    """(first, last) ping of each stop, from left to right: plateaus, whose ends an exact check on the pings trims. A plateau may hold
+    several stays, as its level may drift."""
     n = len(us)
     if not n:
         return []
@@ -131,7 +135,12 @@ def stays(us, y, x, starts, stay: Stay) -> list[tuple[int, int]]:
     wide = np.int64(int(us.max() - us.min()) + int(stay.least_s * 1e6) + 2)
     line = seg * wide + (us - us.min())
     k = np.searchsorted(line, line + int(stay.least_s * 1e6))
-    i = np.flatnonzero(plateaus(us, p, starts, stay) & (k < end))
+    ranges = plateaus(us, p, starts, stay)
+    limit = np.zeros(n, np.int64)  # where a ping's plateau ends
+    for lo, hi in ranges:
+        limit[lo:hi] = hi
+    limit = np.minimum(limit, end)
+    i = np.flatnonzero(k < limit)
     for f in (1.0, 0.5, 0.25, 0.75):
         i = i[near(i, i + np.ceil((k[i] - i) * f).astype(np.int64))]
     out, free = [], 0
@@ -141,7 +150,7 @@ def stays(us, y, x, starts, stay: Stay) -> list[tuple[int, int]]:
         d = p[a : k[a] + 1] - p[a]
         if (np.einsum("ij,ij->i", d, d) > c2).any():
             continue
-        b, step, stop = int(k[a]), 256, int(end[a])
+        b, step, stop = int(k[a]), 256, int(limit[a])
         while b + 1 < stop:
             d = p[b + 1 : min(stop, b + 1 + step)] - p[a]
             far = np.flatnonzero(np.einsum("ij,ij->i", d, d) > c2)

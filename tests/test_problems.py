@@ -1,6 +1,7 @@
 """The operators on pings: against plain versions on small random tables, and on the cases that tables hold at their edges."""
 
 import datetime as dt
+import os
 
 import numpy as np
 import pytest
@@ -265,6 +266,68 @@ def test_stays_of_sparse_reporters():
     assert stops == 80
 
 
+REAL = "/root/testdata/sf0.01/privacy_toy.parquet"
+
+
+@pytest.fixture(scope="module")
+def real():
+    """Distinct dated pings in order, by uid: us, lat, lng."""
+    import pandas as pd
+
+    if not os.path.exists(REAL):
+        pytest.skip("no test tables here")
+    p = pd.read_parquet(REAL, columns=["uid", "lat", "lng", "datetime"]).dropna().drop_duplicates()
+    p = p[(p.lat.abs() <= 90) & (p.lng.abs() <= 180) & ((p.lat != 0) | (p.lng != 0)) & (p.datetime >= "2005-01-01") & (p.datetime < "2036-01-01")]
+    p["us"] = p["datetime"].astype("datetime64[us]").astype("int64")
+    return {u: (g.us.to_numpy(), g.lat.to_numpy(), g.lng.to_numpy()) for u, g in p.sort_values(["uid", "us", "lat", "lng"]).groupby("uid")}
+
+
+def test_no_stay_is_lost_on_real_pings(real, monkeypatch):
+    """Sources of every cadence, spikes and all: with plateaus, without them, and by the definition the same stays."""
+    parts = [(us, y, x) for us, y, x in real.values()]
+    us, y, x = (np.concatenate(c) for c in zip(*parts))
+    starts = np.zeros(len(us), bool)
+    starts[np.cumsum([0, *[len(p[0]) for p in parts]])[:-1]] = True
+    got = trips.stays(us, y, x, starts, trips.Stay())
+    monkeypatch.setattr(trips, "plateaus", lambda us, p, starts, stay: [(0, len(us))])
+    assert got == trips.stays(us, y, x, starts, trips.Stay()) and len(got) > 400
+    first = np.flatnonzero(starts)
+    for a, (u, v, w) in list(zip(first, parts))[::4]:
+        if len(u) < 3000:
+            assert [(i - a, j - a) for i, j in got if a <= i < a + len(u)] == plain_stays(u, v, w)
+    monkeypatch.setattr(trips, "plateaus", lambda us, p, starts, stay: [])
+    assert trips.stays(us, y, x, starts, trips.Stay()) == []  # stops come from plateaus
+
+
+def test_ellipsoids_decide(spark, monkeypatch):
+    """What isn't outside the ellipsoids is no spike; and with everything outside, a scattering source's normal speed is underrated."""
+    rng = np.random.default_rng(11)
+    rows = walk(rng, 1, 1200)
+    for at in (100, 700):
+        u, y, x, t = rows[at]
+        rows[at] = (u, y + 0.3, x, t)
+    us = np.array([int((r[3] - dt.datetime(1970, 1, 1)).total_seconds() * 1e6) for r in rows])
+    y, x = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    starts = np.arange(len(us)) == 0
+    lim = faults.Limits()
+
+    def found():
+        at, total, reps, (_, b, v) = faults.profile(us, y, x, starts, lim)
+        speed = np.full(len(us), faults.normal_speed(b, v, lim))
+        return np.flatnonzero(faults.spikes(us, y, x, starts, speed, lim)).tolist()
+
+    assert found() == [100, 700]
+    with monkeypatch.context() as m:
+        m.setattr(faults, "outside", lambda us, y, x, starts: np.zeros(len(us), bool))
+        assert found() == []
+    # this source goes to and fro all the time: its normal way of moving, as the scales tell
+    y = 45 + np.where(np.arange(1200) % 3 == 2, 0.004, 0.0) + rng.normal(0, 1e-6, 1200)
+    x, us = np.full(1200, 9.0), 1_300_000_000_000_000 + np.arange(1200) * 60_000_000
+    assert found() == []
+    monkeypatch.setattr(faults, "outside", lambda us, y, x, starts: np.ones(len(us), bool))
+    assert len(found()) > 100
+
+
 def test_total_variation_is_optimal():
     rng = np.random.default_rng(0)
     for _ in range(300):
