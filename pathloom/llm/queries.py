@@ -12,24 +12,16 @@ from pathloom.session import table
 WANTED = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 
-def _flows(spark: SparkSession, folder: str) -> DataFrame:
-    """Each flow once, with its day and month."""
-    once = table(spark, folder, "ny_commuting_flows_2011").dropDuplicates(["flow_id"])
-    return once.withColumns({"day": F.col("datetime").cast("date"), "month": F.trunc(F.col("datetime").cast("date"), "month")})
-
-
-def _named(p: DataFrame, kind: str, key: str) -> DataFrame:
-    values = [F.col("percentiles")[i].alias(f"p{round(100 * q):02d}") for i, q in enumerate(WANTED)]
-    return p.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), "n", *values)
-
-
 def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Of each origin, destination and day; those of origins are put together from the sketches of their months."""
-    flows = _flows(spark, folder)
-    months = quantiles.sketch(flows, ["origin", "month"], "flow")
-    out = _named(quantiles.percentiles(quantiles.merge(months, ["origin"]), ["origin"], WANTED), "origin", "origin")
-    out = out.unionByName(_named(quantiles.percentiles(quantiles.sketch(flows, ["day"], "flow"), ["day"], WANTED), "day", "day"))
-    return out.unionByName(_named(quantiles.percentiles(quantiles.sketch(flows, ["destination"], "flow"), ["destination"], WANTED), "destination", "destination"))
+    """Of each origin, destination and day, copies counted once; those of origins are put together from the sketches of their months."""
+    once = table(spark, folder, "ny_commuting_flows_2011").where("flow is not null").dropDuplicates(["flow_id"])
+    day = F.col("datetime").cast("date")
+    of = lambda kind, key, month: F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"), month.alias("month"))
+    none = F.lit(None).cast("date")
+    kinds = F.array(of("origin", F.col("origin"), F.trunc(day, "month")), of("destination", F.col("destination"), none), of("day", day, none))
+    rows = once.select("flow", F.explode(kinds).alias("of")).select("of.*", "flow")
+    found = quantiles.percentiles(quantiles.sketch(rows, ["kind", "key", "month"], "flow"), ["kind", "key"], WANTED)
+    return found.select("kind", "key", "n", *[F.col("percentiles")[i].alias(f"p{round(100 * q):02d}") for i, q in enumerate(WANTED)], "rank_error")
 
 
 def p8_packing(spark: SparkSession, folder: str) -> DataFrame:
