@@ -50,7 +50,7 @@ def label_language(label: Column) -> Column:
 
 
 def units(text: str) -> list[str]:
-    """The stretches of running text between sentence ends, lines and markup."""
+    """The stretches of running text between sentence ends, lines and markup, however short."""
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
@@ -65,14 +65,14 @@ def units(text: str) -> list[str]:
         text = _QUOTES.sub("", text)
     out = []
     for line in text.split("\n"):
-        if len(line) < 12 or _TABLE_LINE.match(line):
+        if _TABLE_LINE.match(line):
             continue
         if "<" in line or "|" in line or "{" in line:
             parts = [_TAG.sub(" ", _INLINE.sub("", p)) for p in _BREAK.split(line)]
         else:
             parts = [line]
         for p in parts:
-            if p and len(p) >= 8:
+            if p:
                 out.extend(_END.split(p))
     return out
 
@@ -124,7 +124,8 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ok = inside & middle
         who.append(own[: len(g)][ok])
         grams.append(g[ok])
-    return np.concatenate(who), np.concatenate(grams)
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *who]), np.concatenate([none, *grams])
 
 
 def _ranked(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,10 +133,10 @@ def _ranked(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     who, gram = _grams(texts)
     key = np.sort((who << (3 * _BITS + 1)) | gram)
     at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-    count = np.minimum(np.diff(np.r_[at, len(key)]), 4095)
+    count = np.diff(np.r_[at, len(key)])
     key = key[at]
     who = key >> (3 * _BITS + 1)
-    level = (who << 12) | (4095 - count)
+    level = (who << 32) | ((1 << 31) - count)
     o = np.argsort(level, kind="stable")
     level = level[o]
     first = np.flatnonzero(np.r_[True, level[1:] != level[:-1]][: len(level)])
@@ -245,6 +246,26 @@ class Reader:
             out.append((self.profiles.langs[lang], float(np.clip((rest - mean[lang]) / 0.1, 0, 1)), int(size[a:b].sum()), known[a][0][:80]))
         return out
 
+    def overall(self, text: str | None, found: list[tuple[str, float, int, str]]) -> tuple[str | None, float, int, int]:
+        """(language, confidence, words of prose, languages of prose) of a whole text, from its stretches: the language with most
+        words, sure to the part of the prose that is in it. Without prose all of the text's words decide together, and
+        nothing does where there are none."""
+        if found:
+            words: dict[str, float] = {}
+            sure: dict[str, float] = {}
+            for lang, c, n, _ in found:
+                words[lang] = words.get(lang, 0) + n
+                sure[lang] = sure.get(lang, 0) + c * n
+            lang = max(sorted(words), key=words.get)
+            total = sum(words.values())
+            return lang, sure[lang] / total, int(total), len(words)
+        far = self.profiles.distances([" ".join(units(text))])[0] if text else np.ones(1)
+        best = int(far.argmin())
+        if far[best] >= 1:
+            return None, 0.0, 0, 0
+        rest = np.delete(far, best).min() if len(far) > 1 else 1.0
+        return self.profiles.langs[best], float(np.clip((rest - far[best]) / 0.1, 0, 1)), 0, 0
+
 
 def fit_profiles(samples: DataFrame, lang: str = "lang", text: str = "text") -> Profiles:
     """Profiles from at most ``MOST_SAMPLES`` sentences of each language (those first by a hash of their text)."""
@@ -265,8 +286,8 @@ def stretches(documents: DataFrame, profiles: Profiles, doc_id: str = "doc_id",
     """Each stretch of a document in one language: ``doc_id``, ``stretch`` (its number), ``lang``, ``confidence`` (0 to 1),
     ``n_words``, ``begins`` (its first characters).
 
-    Markup, tables, fields, headings, names and senseless typing are passed over, so a document without prose, or without
-    text, gives no row. Each row of ``documents`` is read whole, copies too; other columns are ignored.
+    Markup, tables, fields, headings, names, senseless typing and sentences of fewer than ``LEAST_PROSE_WORDS`` words are passed
+    over and not counted, so a document without prose, or without text, gives no row (:func:`document_languages` gives one). Each row of ``documents`` is read whole, copies too; other columns are ignored.
     """
     held = documents.sparkSession.sparkContext.broadcast(profiles)  # ten languages of PROFILE n-grams
 
@@ -286,6 +307,31 @@ def stretches(documents: DataFrame, profiles: Profiles, doc_id: str = "doc_id",
     return out.select(F.col("doc").alias(doc_id), "stretch", "lang", "confidence", "n_words", "begins")
 
 
+def document_languages(documents: DataFrame, profiles: Profiles, doc_id: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
+    """One row for each row of ``documents``: ``doc_id``, ``lang``, ``confidence`` (0 to 1), ``n_words`` of prose, ``n_langs`` of prose,
+    ``named`` (the language that the label names, or null) and ``label_is`` ('right', 'wrong' or 'missing').
+
+    A text's language is the one with most words of prose; a text without prose (tables, names, fields) has the one that all its
+    words are nearest to, with 0 words, and calls no label wrong (``label_is`` is null then). Texts that are null, empty or without
+    letters of the profiles have a null language and confidence 0. Whole texts are read; other columns are ignored.
+    """
+    held = documents.sparkSession.sparkContext.broadcast(profiles)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(held.value)
+        for b in batches:
+            for a in range(0, b.num_rows, 500):
+                part = b.slice(a, 500)
+                texts = part.column("text").to_pylist()
+                lang, sure, n, many = zip(*[reader.overall(t, of) for t, of in zip(texts, reader.read(texts))]) if texts else ((),) * 4
+                yield pa.record_batch([part.column("doc"), part.column("named"), pa.array(lang, pa.string()), pa.array(sure, pa.float64()), pa.array(n, pa.int64()), pa.array(many, pa.int32())], names=["doc", "named", "lang", "confidence", "n_words", "n_langs"])
+
+    rows = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), label_language(F.col(label)).alias("named"))
+    out = rows.mapInArrow(read, f"doc {rows.schema['doc'].dataType.simpleString()}, named string, lang string, confidence double, n_words long, n_langs int")
+    is_ = F.when(F.col("named").isNull(), "missing").when(F.col("lang") == F.col("named"), "right").when(F.col("n_words") > 0, "wrong")
+    return out.select(F.col("doc").alias(doc_id), "lang", "confidence", "n_words", "n_langs", "named", is_.alias("label_is"))
+
+
 def unlabelled_languages(documents: DataFrame, profiles: Profiles, least_words: int = 15, doc_id: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
     """The languages of which a document holds a stretch of ``least_words`` or more, and which its label doesn't name: ``doc_id``,
     ``lang``, ``n_words`` (of the longest stretch), ``confidence`` (of the surest such stretch)."""

@@ -51,6 +51,10 @@ def p10_stretches(spark: SparkSession, folder: str) -> DataFrame:
     return languages.stretches(table(spark, folder, "documents"), languages.fit_profiles(table(spark, folder, "lang_samples")))
 
 
+def p10_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.document_languages(table(spark, folder, "documents"), languages.fit_profiles(table(spark, folder, "lang_samples")))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     found = languages.unlabelled_languages(table(spark, folder, "documents"), languages.fit_profiles(table(spark, folder, "lang_samples")))
     return found.select("doc_id", "lang").distinct()
@@ -65,7 +69,7 @@ g AS (SELECT *, sum(c) OVER (PARTITION BY uid ORDER BY i ROWS UNBOUNDED PRECEDIN
 s AS (SELECT uid, min(epoch_us(datetime)) AS a, max(epoch_us(datetime)) AS b, count(*) AS n, arg_min(lat, i) AS lat, arg_min(lng, i) AS lng FROM g GROUP BY uid, r)
 """
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p7_found, p7_runs, p8_packing, p9_found, p9_leaks, p10_found, p10_stretches)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p7_found, p7_runs, p8_packing, p9_found, p9_leaks, p10_documents, p10_found, p10_stretches)}
 
 ORACLE = {
     "p7_found": f"{_RUNS_SQL} SELECT DISTINCT uid, a // 1000000 AS start_s FROM s WHERE n >= 3",

@@ -59,6 +59,25 @@ def test_stretches_and_labels(spark, profiles):
     assert {r.lang for r in lang.unlabelled_languages(long_, profiles).collect()} == {"en"}
 
 
+def test_every_document_has_a_language(spark, profiles):
+    en, de = (" ".join(SAMPLES[k]) for k in ("en", "de"))
+    verse = "\n".join(["es war so da", "er ist in ja", "so ging er zu"])  # lines of four words
+    docs = [(1, en, "en"), (1, en, "en"), (2, f"{en}\n\n{SAMPLES['de'][0]}", "de"), (3, None, "en"), (4, "", None), (5, "| Die alte Mühle = nach dem Krieg", None), (6, "x", "x"), (7, "123 +", "fr"), (8, verse, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumns({"doc": F.lit(0), "named": F.lit(0), "confidence": F.lit(0)})
+    got = sorted(((r.doc_id, r.lang, r.label_is, r.n_langs, r.n_words > 0) for r in lang.document_languages(df, profiles).collect()), key=str)
+    assert got[:3] == [(1, "en", "right", 1, True), (1, "en", "right", 1, True), (2, "en", "wrong", 2, True)]
+    assert [g[0] for g in got] == [1, 1, 2, 3, 4, 5, 6, 7, 8]
+    assert got[3][1:3] == (None, None) and got[4][1:3] == (None, "missing") and got[7][1:3] == (None, None) and got[8][1:3] == ("de", "missing")
+    assert all(0 <= r.confidence <= 1 for r in lang.document_languages(df, profiles).collect())
+    assert lang.document_languages(df.limit(0), profiles).count() == 0
+
+
+def test_counts_of_frequent_grams_differ():
+    """However frequent n-grams are, their ranks tell them apart."""
+    _, gram, rank = lang._ranked(["to " * 60_000 + "so " * 50_000])
+    assert len(set(rank[:6].tolist())) >= 3
+
+
 def test_label_spellings(spark):
     rows = [("en", "en"), ("EN", "en"), ("en_us", "en"), ("en-GB", "en"), ("English", "en"), ("eng", "en"), ("ger", "de"), ("fre", "fr"), ("dut", "nl"), ("und", None), ("mul", None), ("xx", None), ("", None), (None, None), (" pt-BR ", "pt"), ("unknown", None), ("Polish", "pl")]
     df = spark.createDataFrame(rows, "label string, want string")
