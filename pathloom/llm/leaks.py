@@ -8,7 +8,7 @@ items that share only terms too frequent to reach the threshold together. What i
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from array import array
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -20,10 +20,13 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.text import spaced_words, words
 
-#: Items of one index, which is sent to every task; more items are searched for in several passes.
-MOST_ITEMS = 50_000
-#: Items shared by at most this part of the items are essential terms.
-RARE = 0.04
+#: Characters of the items of one index, which is built by the driver and sent to every task (see :meth:`LeakIndex.bytes`: about
+#: seven bytes for each); items with more are searched for in several passes over the corpus.
+MOST_CHARACTERS = 40_000_000
+#: Terms of at most this part of the items, and of at most so many, are essential; every case has one in any event.
+RARE, RARE_ITEMS = 0.04, 50
+#: Postings that a search looks at in one go: more texts than that are halved.
+MOST_POSTINGS = 4_000_000
 ITEM_BLOCK = 64
 K1, B = 1.2, 0.75
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -31,85 +34,107 @@ _BASE_INVERSE = pow(_BASE, -1, 2**64)
 
 
 class LeakIndex:
-    """BM25 impacts of items (passage and question), block maxima, and what verification needs."""
+    """BM25 impacts of items (passage and question), block maxima, and what verification needs.
+
+    All of it is arrays as long as the items' words: postings, maxima of the blocks in which a term occurs, and hashes of the
+    runs of words, whose words are looked up in the items themselves.
+    """
 
     def __init__(self, items: pd.DataFrame, run: int = 12, changed: float = 1 / 6):
         self.run, self.changed = run, changed
-        parts: list[list[list[list[str]]]] = []
-        ids = []
-        for item, passage, question in zip(items["item_id"], items["passage"], items["question"]):
+        answers = items["answer"] if "answer" in items else repeat(None)
+        ids, self.answers, vocabulary = [], [], {}
+        token, size, at = array("i"), array("i"), [0]  # words' numbers; of words between spaces how many they hold; where passages and questions begin there
+        for item, passage, question, answer in zip(items["item_id"], items["passage"], items["question"], answers):
             two = [spaced_words(x) if isinstance(x, str) else [] for x in (passage, question)]
-            if any(two):
-                ids.append(item)
-                parts.append(two)
-        self.ids = np.array(ids, np.int64)
-        answers = dict(zip(items["item_id"], items["answer"])) if "answer" in items else {}
-        self.answers = [" ".join(words(x)) if isinstance(x := answers.get(i), str) else "" for i in ids]
-        counts = [Counter(w for part in two for g in part for w in g) for two in parts]
-        self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for c in counts for w in c}))}
-        n, v = len(ids), len(self.vocabulary) + 1
-        df = np.zeros(v)
-        for c in counts:
-            for w in c:
-                df[self.vocabulary[w]] += 1
+            if not any(two):
+                continue
+            ids.append(item)
+            self.answers.append(" ".join(words(answer)) if isinstance(answer, str) else "")
+            for part in two:
+                for g in part:
+                    size.append(len(g))
+                    token.extend(vocabulary.setdefault(w, len(vocabulary) + 1) for w in g)
+                at.append(len(size))
+        self.ids, self.vocabulary = np.array(ids, np.int64), vocabulary
+        n, v = len(ids), len(vocabulary) + 1
+        self.token, self.size, self.part = np.array(token, np.int32), np.array(size, np.int32), np.array(at, np.int64)
+        self.begin = np.r_[0, np.cumsum(self.size, dtype=np.int64)]  # where words between spaces begin among the tokens
+        owner = np.repeat(np.arange(2 * n), np.diff(self.part))  # part of each word between spaces
+        part = np.repeat(owner, self.size)  # and of each token
+        own = part // 2
+        # postings, by term
+        pair, tf = np.unique(self.token.astype(np.int64) * max(n, 1) + own, return_counts=True)
+        term, self.item = pair // max(n, 1), (pair % max(n, 1)).astype(np.int32)
+        df = np.bincount(term, minlength=v)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        length = np.array([sum(c.values()) for c in counts]) if n else np.zeros(0)
+        length = np.bincount(own, minlength=n)
         mean = length.mean() if n else 1
-        rows, cols, imp = [], [], []
-        for i, c in enumerate(counts):
-            for w, tf in c.items():
-                t = self.vocabulary[w]
-                rows.append(t)
-                cols.append(i)
-                imp.append(idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[i] / mean)))
-        o = np.lexsort((cols, rows)) if rows else np.empty(0, int)
-        self.item, self.impact = np.array(cols, np.int64)[o] if rows else np.empty(0, np.int64), np.array(imp)[o] if rows else np.empty(0)
-        term = np.array(rows, np.int64)[o] if rows else np.empty(0, np.int64)
+        self.impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.item] / mean))
         self.at = np.searchsorted(term, np.arange(v + 1))
-        blocks = max(1, -(-n // ITEM_BLOCK))
-        self.block_max = np.zeros((v, blocks))
-        np.maximum.at(self.block_max, (term, self.item // ITEM_BLOCK), self.impact)
-        self.term_max = self.block_max.max(axis=1)
-        lookup = dict(zip((term * max(n, 1) + self.item).tolist(), self.impact.tolist()))
+        self._keys = pair
+        # maxima by term and block of items, where there are any
+        self.blocks = max(1, -(-n // ITEM_BLOCK))
+        block = term * self.blocks + self.item // ITEM_BLOCK
+        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]][: len(block)])
+        self.block = (block[first] % self.blocks).astype(np.int32)
+        self.block_max = np.maximum.reduceat(self.impact, first) if len(first) else np.empty(0)
+        self.block_at = np.searchsorted(block[first] // self.blocks, np.arange(v + 1))
+        self.term_max = np.zeros(v)
+        np.maximum.at(self.term_max, term, self.impact)
 
         # The least score that a true case can have, by item: of its runs of words, and of its passage without its best words.
-        self.grams, self.passages = defaultdict(list), {}
-        least_run, least_passage, self.fewest = np.full(n, np.inf), np.full(n, np.inf), np.full(n, np.iinfo(np.int64).max)
-        self.essential = (df <= max(3, RARE * n)) & (df > 0)
-        longest_run, longest_passage = 1, 1
-        for i, two in enumerate(parts):
-            for p, part in enumerate(two):
-                code = [[self.vocabulary[w] for w in g] for g in part]
-                for a in range(len(part) - run + 1):
-                    gram = [t for g in code[a : a + run] for t in g]
-                    least_run[i] = min(least_run[i], sum(lookup[t * n + i] for t in set(gram)))
-                    self.essential[min(gram, key=lambda t: df[t])] = True
-                    self.grams[len(gram)].append((i, gram))
-                    longest_run = max(longest_run, len(gram))
-                allowed = int(len(part) * changed)
-                if p == 0 and allowed:
-                    flat = [t for g in code for t in g]
-                    terms = sorted(set(flat), key=lambda t: lookup[t * n + i])
-                    self.passages[i] = (np.array(flat, np.int64), allowed, np.array([len(g) for g in code], np.int64))
-                    lost = sum(sorted(map(len, part))[-allowed:])  # runs of letters in the words that may change
-                    least_passage[i] = sum(lookup[t * n + i] for t in terms[:-lost])
-                    self.fewest[i] = max(1, len(terms) - lost)
-                    self.essential[terms[-lost - 1 :]] = True  # at least one of them is left
-                    longest_passage = max(longest_passage, len(flat) + lost)
-        #: Words of half a query, so that two neighbouring halves hold any true case; and the thresholds of the items.
-        self.levels = [(longest_run, 0.999 * least_run), (longest_passage, 0.999 * least_passage)]
         rng = np.random.default_rng(7)
         self.code = rng.integers(0, 2**63, v, np.int64).astype(np.uint64) | np.uint64(1)
-        self.grams = {m: self._table(m, g) for m, g in self.grams.items()}
-
-    def _table(self, m: int, grams: list[tuple[int, list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        words_ = np.array([g for _, g in grams], np.int64)
-        own = np.array([i for i, _ in grams], np.int64)
-        power = np.array([pow(_BASE, j, 2**64) for j in range(m)], np.uint64)
-        with np.errstate(over="ignore"):
-            h = (self.code[words_] * power).sum(axis=1, dtype=np.uint64)
-        o = np.lexsort((own, h))
-        return h[o], own[o], words_[o]
+        worth = self._impact(self.token.astype(np.int64), own)
+        again = _again(self.token, part)
+        least_run, least_passage, self.fewest = np.full(n, np.inf), np.full(n, np.inf), np.full(n, np.iinfo(np.int64).max)
+        self.essential = (df <= max(3, min(RARE * n, RARE_ITEMS))) & (df > 0)
+        longest_run, longest_passage = 1, 1
+        self.grams = {}
+        heads = np.flatnonzero(np.arange(len(owner)) + run <= np.r_[self.part[1:], 0][owner]) if n else np.empty(0, np.int64)
+        many = self.begin[heads + run] - self.begin[heads]
+        for m in np.unique(many).tolist():
+            start = self.begin[heads[many == m]]
+            hashes = np.empty(len(start), np.uint64)
+            power = np.array([pow(_BASE, j, 2**64) for j in range(m)], np.uint64)
+            for a in range(0, len(start), 100_000):
+                s = start[a : a + 100_000, None]
+                w = s + np.arange(m)
+                t = self.token[w]
+                np.minimum.at(least_run, own[s[:, 0]], np.where(again[w] < s, worth[w], 0).sum(axis=1))
+                self.essential[t[np.arange(len(t)), df[t].argmin(axis=1)]] = True
+                with np.errstate(over="ignore"):
+                    hashes[a : a + 100_000] = (self.code[t] * power).sum(axis=1, dtype=np.uint64)
+            o = np.argsort(hashes, kind="stable")
+            self.grams[m] = hashes[o], own[start[o]].astype(np.int32), start[o]
+            longest_run = max(longest_run, m)
+        for i in range(n):
+            flat, allowed, sizes = self.passage(i)
+            if not allowed:
+                continue
+            terms, where = np.unique(flat, return_index=True)
+            value = worth[self.begin[self.part[2 * i]] + where]
+            o = np.argsort(value, kind="stable")
+            lost = int(np.sort(sizes)[-allowed:].sum())  # runs of letters in the words that may change
+            least_passage[i] = value[o[: max(0, len(o) - lost)]].sum()
+            self.fewest[i] = max(1, len(terms) - lost)
+            self.essential[terms[o[max(0, len(o) - lost - 1) :]]] = True  # at least one of them is left
+            longest_passage = max(longest_passage, len(flat) + lost)
+        #: Words of half a query, so that two neighbouring halves hold any true case; and the thresholds of items and their blocks.
+        self.levels = []
+        for stretch, least in ((longest_run, 0.999 * least_run), (longest_passage, 0.999 * least_passage)):
+            self.levels.append((stretch, least, np.minimum.reduceat(least, np.arange(0, n, ITEM_BLOCK)) if n else least))
+
+    def passage(self, i: int) -> tuple[np.ndarray, int, np.ndarray]:
+        """Tokens of an item's passage, how many of its words may change, and of how many tokens each word consists."""
+        a, b = self.part[2 * i], self.part[2 * i + 1]
+        return self.token[self.begin[a] : self.begin[b]].astype(np.int64), int((b - a) * self.changed), self.size[a:b].astype(np.int64)
+
+    def bytes(self) -> int:
+        """Bytes of the arrays, and about those of the words."""
+        arrays = [x for x in vars(self).values() if isinstance(x, np.ndarray)] + [x for g in self.grams.values() for x in g]
+        return sum(x.nbytes for x in arrays) + sum(len(w) + 60 for w in self.vocabulary) + sum(map(len, self.answers))
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, str]]:
         """(text, item, 'run' or 'passage') of all cases."""
@@ -124,6 +149,9 @@ class LeakIndex:
         ids, size = np.concatenate(coded) if coded else np.empty(0, np.int64), np.array(sizes, np.int64)
         if not len(ids):
             return []
+        if len(texts) > 1 and np.where(self.essential, np.diff(self.at), 0)[ids].sum() > MOST_POSTINGS:
+            half = len(texts) // 2
+            return self.search(texts[:half]) + [(d + half, i, how) for d, i, how in self.search(texts[half:])]
         begin = np.r_[0, np.cumsum(size)]
         own, item, *_ = self._retrieve(ids, size, begin, *self.levels[0])
         found = self._runs(ids, begin, np.unique(own * len(self.ids) + item))
@@ -134,7 +162,7 @@ class LeakIndex:
         own = f" {' '.join(words(text))} "
         return [f" {self.answers[i]} " in own if self.answers[i] else None for i in items]
 
-    def _retrieve(self, ids, size, begin, stretch, theta):
+    def _retrieve(self, ids, size, begin, stretch, theta, least_of):
         """(text, item, position, shared terms) of the queries, each a stretch and the next, that reach an item's threshold."""
         v, n = len(self.code), len(self.ids)
         doc = np.repeat(np.arange(len(size)), size)
@@ -156,25 +184,26 @@ class LeakIndex:
 
         # Block maxima: queries that can't reach the least threshold of a block of items skip it.
         rest = paired(np.bincount(b[~ess], self.term_max[t[~ess]], total))
-        alive = np.zeros((total, self.block_max.shape[1]), bool)
-        for c in range(alive.shape[1]):
-            upper = paired(np.bincount(b[ess], self.block_max[t[ess], c], total))
-            alive[:, c] = (upper > 0) & (upper + rest >= theta[c * ITEM_BLOCK : (c + 1) * ITEM_BLOCK].min())
-        used = alive.copy()  # a stretch counts for its own query and for the one before
-        used[1:][follows[:-1]] |= alive[:-1][follows[:-1]]
-        live = ess & used.any(axis=1)[b]
+        blocks = self.blocks
+        at, row = _spans(self.block_at[t[ess]], self.block_at[t[ess] + 1])
+        key, upper = _sums(b[ess][row] * blocks + self.block[at], self.block_max[at], total * blocks)
+        q = np.unique(np.r_[key, key[np.r_[False, follows][key // blocks]] - blocks])  # a stretch counts for the one before too
+        upper = _at(key, upper, q) + np.where(follows[q // blocks], _at(key, upper, q + blocks), 0)
+        alive = q[upper + rest[q // blocks] >= least_of[q % blocks]]
+        used = np.unique(np.r_[alive, alive[follows[alive // blocks]] + blocks])
+        some = np.zeros(total, bool)
+        some[used // blocks] = True
+        live = ess & some[b]
         b1, t1 = b[live], t[live]
         at, row = _spans(self.at[t1], self.at[t1 + 1])
         b2, item, imp = b1[row], self.item[at], self.impact[at]
-        ok = used[b2, item // ITEM_BLOCK]
-        pair, back = np.unique(b2[ok] * n + item[ok], return_inverse=True)
-        score = np.bincount(back, imp[ok], len(pair))
+        ok = _at(used, np.ones(len(used)), b2 * blocks + item // ITEM_BLOCK) > 0
+        pair, score = _sums(b2[ok] * n + item[ok], imp[ok], total * n)
         none = np.empty(0, np.int64)
         if not len(pair):
             return none, none, none, none
         q = np.unique(np.r_[pair, pair[np.r_[False, follows][pair // n]] - n])
-        here, there = (np.minimum(np.searchsorted(pair, x), len(pair) - 1) for x in (q, q + n))
-        s = np.where(pair[here] == q, score[here], 0) + np.where((pair[there] == q + n) & follows[q // n], score[there], 0)
+        s = _at(pair, score, q) + np.where(follows[q // n], _at(pair, score, q + n), 0)
         keep = s + rest[q // n] >= theta[q % n]
         q, s = q[keep], s[keep]
         # The exact score of what is left, frequent terms included.
@@ -191,11 +220,7 @@ class LeakIndex:
         return own, q % n, begin[own] + (q // n - first[own]) * stretch, shared[out]
 
     def _impact(self, t, i):
-        n = len(self.ids)
-        if not hasattr(self, "_keys"):
-            self._keys = np.repeat(np.arange(len(self.at) - 1), np.diff(self.at)) * n + self.item
-        at = np.minimum(np.searchsorted(self._keys, t * n + i), len(self._keys) - 1)
-        return np.where(self._keys[at] == t * n + i, self.impact[at], 0)
+        return _at(self._keys, self.impact, t * len(self.ids) + i)
 
     def _runs(self, ids, begin, candidates) -> list[tuple[int, int, str]]:
         """Candidates with a run of words in common: rolling hashes over the texts, equal hashes compared word by word."""
@@ -218,7 +243,7 @@ class LeakIndex:
                 for p in hit[text[hit] == text[hit + m - 1]].tolist():
                     j = int(lo[p])
                     while j < len(h) and h[j] == g[p]:
-                        if np.array_equal(gram[j], w[p : p + m]):
+                        if np.array_equal(self.token[gram[j] : gram[j] + m], w[p : p + m]):
                             found.add(int(text[p]) * n + int(who[j]))
                         j += 1
         return [(k // n, k % n, "run") for k in found & set(candidates.tolist())]
@@ -232,7 +257,7 @@ class LeakIndex:
         for d, i, a in zip(own[many].tolist(), item[many].tolist(), position[many].tolist()):
             if (d, i) in found or (d, i) in out:
                 continue
-            passage, allowed, sizes = self.passages[i]
+            passage, allowed, sizes = self.passage(i)
             if d not in bounds:
                 bounds[d] = np.cumsum([int(begin[d]), *map(len, spaced_words(texts[d]))])
             z = min(int(begin[d + 1]), a + width)
@@ -249,6 +274,33 @@ def _spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + lo[row], row
 
 
+def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of the sorted keys that are wanted, 0 for those that aren't there."""
+    if not len(keys):
+        return np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0)
+
+
+def _sums(key: np.ndarray, value: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, all below ``room``, and the (positive) sums of their values."""
+    if room <= 1 << 22:
+        out = np.bincount(key, value, room)
+        at = np.flatnonzero(out)
+        return at, out[at]
+    at, back = np.unique(key, return_inverse=True)
+    return at, np.bincount(back, value, len(at))
+
+
+def _again(token: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """For each token where it occurred before in its part, or -1."""
+    out = np.full(len(token), -1)
+    o = np.lexsort((np.arange(len(token)), token, part))
+    same = (token[o][1:] == token[o][:-1]) & (part[o][1:] == part[o][:-1])
+    out[o[1:][same]] = o[:-1][same]
+    return out
+
+
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -299,8 +351,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, run: int = 12, changed:
     whether the item's answer occurs too, null if it has none; it decides nothing. Case, accents, punctuation, spacing, entities and wiki or HTML markup don't matter. Documents without text and items without words
     match nothing; each row of ``documents`` is searched whole, copies too; other columns are ignored.
     """
-    count = items.count()
-    passes = max(1, -(-count // MOST_ITEMS))
+    length = F.coalesce(F.length("passage"), F.lit(0)) + F.coalesce(F.length("question"), F.lit(0)) + 8
+    passes = max(1, -(-int(items.agg(F.coalesce(F.sum(length), F.lit(0))).first()[0]) // MOST_CHARACTERS))
     out = None
     for k in range(passes):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k) if passes > 1 else items

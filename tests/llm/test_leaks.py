@@ -65,6 +65,29 @@ def test_against_all_pairs(items):
     assert {(d, int(index.ids[i])) for d, i, how in got if how == "run"} == plain_runs(items, texts)
 
 
+def test_index_grows_with_the_words_of_the_items():
+    """Twenty times the items, with new words in each: no array grows faster."""
+    r, size = random.Random(5), {}
+    for n in (500, 10_000):
+        rows = [(i, " ".join(f"w{r.randrange(40 * n)}" if r.random() < 0.3 else name(r) for _ in range(40)), passage(r, 15)) for i in range(n)]
+        index = leaks.LeakIndex(pd.DataFrame(rows, columns=["item_id", "passage", "question"]))
+        size[n] = index.bytes()
+        texts = [f"{passage(r, 60)} {rows[k][1]} {passage(r, 30)}" for k in (3, n // 2, n - 1)]
+        assert {(d, int(index.ids[i])) for d, i, _ in index.search(texts)} == {(0, 3), (1, n // 2), (2, n - 1)}
+    assert size[10_000] <= 21 * size[500]
+
+
+def test_large_keys(items, monkeypatch):
+    """Sums over keys too large for an array are the same."""
+    texts = [f"{items.iloc[k].passage} and more" for k in range(60)]
+    want = sorted(leaks.LeakIndex(items).search(texts))
+    real = leaks._sums
+    monkeypatch.setattr(leaks, "_sums", lambda k, v, room: real(k, v, 1 << 40))
+    assert sorted(leaks.LeakIndex(items).search(texts)) == want and len(want) >= 60
+    monkeypatch.setattr(leaks, "MOST_POSTINGS", 100)
+    assert sorted(leaks.LeakIndex(items).search(texts)) == want
+
+
 def test_changed_passages(items):
     r = random.Random(3)
     index = leaks.LeakIndex(items)
@@ -106,8 +129,8 @@ def test_alignment():
 def test_operator(spark, items, monkeypatch):
     docs = spark.createDataFrame([(1, items.iloc[3].passage), (2, None), (3, ""), (4, "nothing here"), (5, items.iloc[4].question), (5, items.iloc[4].question)], "doc_id long, text string").withColumns({"doc": F.lit(0), "how": F.lit(0)})
     tests = spark.createDataFrame([*items.itertuples(index=False, name=None), (99, None, None), (98, "", "")], "item_id long, passage string, question string")
-    for most in (50_000, 10):
-        monkeypatch.setattr(leaks, "MOST_ITEMS", most)
+    for most in (40_000_000, 3_000):
+        monkeypatch.setattr(leaks, "MOST_CHARACTERS", most)
         found = [(r.item_id, r.doc_id) for r in leaks.leaked_items(docs, tests).collect()]
         assert sorted(found) == [(3, 1), (4, 5), (4, 5)]
     assert leaks.leaked_items(docs.limit(0), tests).count() == 0
