@@ -8,6 +8,7 @@ groups, round after round, until no round gains anything.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,21 +31,30 @@ FAN_IN = 8
 _encoders: dict = {}
 
 
-def _encoder(path: str, pattern: str):
-    if (path, pattern) not in _encoders:
+def _encoder(vocabulary: bytes, pattern: str):
+    key = hashlib.sha256(vocabulary).digest(), pattern
+    if key not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        _encoders[path, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path, pattern]
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
+        _encoders[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[key]
+
+
+def _vocabulary(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
 
 
 def count_tokens(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
-    """``doc_id``, ``n_tokens`` of each row's whole text; 0 for an empty or null text. Strings of special tokens are ordinary text."""
+    """``doc_id``, ``n_tokens`` of each row's whole text; 0 for an empty or null text. Strings of special tokens are ordinary text.
+
+    ``tokenizer`` is a vocabulary file that the driver can read; its content is sent to the workers.
+    """
+    held = documents.sparkSession.sparkContext.broadcast(_vocabulary(tokenizer))  # a vocabulary of some 100,000 tokens has about 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer, pattern).encode_ordinary
+        encode = _encoder(held.value, pattern).encode_ordinary
         for b in batches:
             n = [len(encode(t)) if t else 0 for t in b.column("text").to_pylist()]
             yield pa.record_batch([b.column("doc"), pa.array(n, pa.int64())], names=["doc", "n"])
@@ -117,6 +127,12 @@ def _round(items: DataFrame, capacity: int, schema: str, number: int) -> DataFra
     return items.select("size", "members").mapInArrow(run, schema)
 
 
+def next_groups(left: int, groups: int | None) -> int:
+    """In how many groups ``left`` underfull bins are packed next: ``FAN_IN`` times fewer than before, but none larger than ``MOST_ITEMS``."""
+    least = max(1, -(-left // MOST_ITEMS))
+    return least if groups is None else max(least, groups // FAN_IN)
+
+
 def pack(items: DataFrame, capacity: int, item_id: str = "doc_id", size: str = "n_tokens") -> DataFrame:
     """Items assigned to bins: ``item_id``, ``piece``, ``start`` (of the piece in its item), ``n`` and ``bin``.
 
@@ -138,10 +154,10 @@ def pack(items: DataFrame, capacity: int, item_id: str = "doc_id", size: str = "
         number += 1
         left = made.where("not full").count()
         done.append(made.where("full"))
-        if groups == 1 or left == 0 or (before is not None and left > 0.9 * before):
+        if groups == 1 or left == 0 or (before is not None and left > 0.9 * before):  # one group has at most MOST_ITEMS
             done.append(made.where("not full"))
             break
-        groups = max(1, -(-left // MOST_ITEMS)) if groups is None or left <= MOST_ITEMS else max(1, groups // FAN_IN)
+        groups = next_groups(left, groups)
         before = left
         # Mixed by a hash of the first member, so that each group sees bins of all partitions.
         open_ = made.where("not full").repartition(groups, F.xxhash64(F.col("members")[0]["doc"], F.col("members")[0]["piece"]))

@@ -55,6 +55,16 @@ def test_pack(spark, monkeypatch, parts, most):
     assert len(fill) <= lower * (1.02 if parts == 1 else 1.25 if most == 40 else 1.08) + 1
 
 
+def test_groups_are_bounded():
+    """However many bins are left, no group is packed that is larger than what a task holds."""
+    left, groups, seen = 20_000_000, None, []
+    while groups != 1 and len(seen) < 20:
+        groups = packing.next_groups(left, groups)
+        seen.append((left, groups))
+        left = int(left * 0.85)
+    assert all(n <= g * packing.MOST_ITEMS for n, g in seen) and seen[0][1] == 40
+
+
 def test_pack_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, n_tokens long"), 100).count() == 0
 
@@ -63,7 +73,7 @@ def test_pack_empty(spark):
 def test_count_tokens(spark):
     texts = [(1, "Hello world, it's 2011!"), (2, ""), (3, None), (4, "<|endoftext|>"), (5, "日本語 текст"), (6, "a" * 200_000)]
     got = {r.doc_id: r.n_tokens for r in packing.count_tokens(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    encode = packing._encoder(packing.TOKENIZER, packing.PATTERN)
+    encode = packing._encoder(packing._vocabulary(packing.TOKENIZER), packing.PATTERN)
     assert got[2] == got[3] == 0 and got[4] > 1 and got[1] == 7  # Hello| world|,| it|'s| 2011|!
     for i, t in texts[:5]:
         if t:
