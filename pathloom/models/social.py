@@ -15,9 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from pathloom.functions.geo import haversine_np
+
 from pathloom.models.agents import MarkovDiary, truncated_power_law
 from pathloom.models.flows import TileArrays, tile_arrays
 
+# Fixed value: the radius of the earth that choices by gravity reckon with, in km.
+GRAVITY_RADIUS_KM = 6371.01
 _SCHEMA = "population long, uid long, datetime timestamp_ntz, lat double, lng double"
 
 
@@ -143,7 +146,7 @@ class SocialModel:
                 return int(own[weighted_choice(rng, visits[i][own])])
             if not self.gravity:
                 return int(own[rng.integers(len(own))])
-            d = haversine_np(a.lat[here[i]], a.lng[here[i]], a.lat[own], a.lng[own])
+            d = haversine_np(a.lat[here[i]], a.lng[here[i]], a.lat[own], a.lng[own], GRAVITY_RADIUS_KM)
             with np.errstate(divide="ignore", invalid="ignore"):
                 w = weight[here[i]] * weight[own] / d**2
             w[~np.isfinite(w)] = 0

@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.operators.ordered import running
+
 
 def every_nth(traj: DataFrame, most: int, keys: list[str] | None = None) -> DataFrame:
     """Of each group at most about ``most`` points, evenly along its time."""
     keys = keys if keys is not None else [c for c in ("uid",) if c in traj.columns]
-    own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ranked = traj.withColumns({"_i": F.row_number().over(own.orderBy("datetime")) - 1, "_n": F.count("*").over(own)})
-    return ranked.where(F.col("_i") % F.greatest(F.lit(1), F.floor(F.col("_n") / most)) == 0).drop("_i", "_n")
+    ranked = running(traj, [*keys, "datetime"], "_i")
+    group = [F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)]
+    sizes = ranked.groupBy(*group).agg(F.min("_i").alias("_least"), F.count("*").alias("_n"))
+    same = F.lit(True)
+    for j, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{j}"))
+    ranked = ranked.join(sizes if keys else F.broadcast(sizes), same)  # without keys one row
+    return ranked.where((F.col("_i") - F.col("_least")) % F.greatest(F.lit(1), F.floor(F.col("_n") / most)) == 0).select(*traj.columns)
 
 
 def trajectory_lines(traj: DataFrame, max_users: int = 10, max_points: int = 1000) -> DataFrame:

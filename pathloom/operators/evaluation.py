@@ -5,9 +5,15 @@ Rows with a null in either column are left out. A denominator of zero gives null
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+import pandas as pd
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.operators.ordered import running
+
 
 def _rows(df: DataFrame, true: str, pred: str, by: list[str] | None) -> DataFrame:
     return df.where(F.col(true).isNotNull() & F.col(pred).isNotNull()).select(*(by or []), F.col(true).cast("double").alias("t"), F.col(pred).cast("double").alias("p"))
@@ -73,8 +79,43 @@ def _pearson(x: str, y: str) -> Column:
     return F.when(below > 0, top / below).otherwise(F.lit(float("nan")))
 
 
+def _incomplete_beta(x: float, a: float, b: float) -> float:
+    """The regularized incomplete beta function, by its continued fraction (modified Lentz)."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _incomplete_beta(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, c, d, f = 1e-300, 1.0, 0.0, 1.0
+    for i in range(1000):
+        m = i // 2
+        top = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / (1 + top * d or tiny)
+        c = 1 + top / c or tiny
+        f *= c * d
+        if i and abs(1 - c * d) < 1e-15:
+            break
+    return front * (f - 1)
+
+
+def p_value(r: Column, n: Column) -> Column:
+    """The two-sided p-value of a correlation ``r`` of ``n`` pairs, by Student's t; null for fewer than three pairs or without spread."""
+
+    @F.pandas_udf("double")
+    def value(r: pd.Series, n: pd.Series) -> pd.Series:  # a row per group
+        return pd.Series([_incomplete_beta(1 - min(1.0, x * x), (m - 2) / 2, 0.5) if m > 2 and x == x else float("nan") for x, m in zip(r, n)], dtype="float64")
+
+    return value(r.cast("double"), n.cast("long"))
+
+
+def with_p_value(correlation: DataFrame) -> DataFrame:
+    """The result of :func:`pearson_correlation` or :func:`spearman_correlation` with its ``p_value``."""
+    name = next(c for c in correlation.columns if c.endswith("_correlation"))
+    return correlation.withColumn("p_value", p_value(F.col(name), F.col("n")))
+
+
 def pearson_correlation(df: DataFrame, true: str, pred: str, by: list[str] | None = None) -> DataFrame:
-    """``pearson_correlation`` and ``n`` (from which a p-value follows)."""
+    """``pearson_correlation`` and ``n``, from which :func:`with_p_value` tells the p-value."""
     return _rows(df, true, pred, by).groupBy(*(by or [])).agg(_pearson("t", "p").alias("pearson_correlation"), F.count("*").alias("n"))
 
 
@@ -84,9 +125,11 @@ def spearman_correlation(df: DataFrame, true: str, pred: str, by: list[str] | No
     rows = _rows(df, true, pred, by)
 
     def ranks(c: str) -> DataFrame:
-        counts = rows.groupBy(*keys, c).agg(F.count("*").alias("m"))
-        w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.select(*keys, c, (F.coalesce(F.sum("m").over(w), F.lit(0)) + (F.col("m") + 1) / 2).alias(f"r{c}"))
+        counts = running(rows.groupBy(*keys, c).agg(F.count("*").alias("m")), [*keys, c], "_before", F.col("m"))
+        if keys:
+            least = counts.groupBy(*keys).agg(F.min("_before").alias("_least"))
+            counts = counts.join(least, keys).withColumn("_before", F.col("_before") - F.col("_least"))
+        return counts.select(*keys, c, (F.col("_before") + (F.col("m") + 1) / 2).alias(f"r{c}"))
 
     ranked = rows.join(ranks("t"), [*keys, "t"]).join(ranks("p"), [*keys, "p"])
     return ranked.groupBy(*keys).agg(_pearson("rt", "rp").alias("spearman_correlation"), F.count("*").alias("n"))

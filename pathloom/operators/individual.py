@@ -44,8 +44,10 @@ def _by(keys: list[str]) -> Window:
 def k_radius_of_gyration(traj: DataFrame, k: int = 2) -> DataFrame:
     """:func:`radius_of_gyration` over the ``k`` most visited locations (ties: the one visited first, then lat, lng)."""
     keys = user_keys(traj)
-    rank = F.row_number().over(_by(keys).orderBy(F.desc("n"), "first", "lat", "lng"))
-    return _radius(visits(traj).withColumn("_r", rank).where(F.col("_r") <= k), keys, f"{k}k_radius_of_gyration")
+    order = [F.desc("n"), F.col("first"), F.col("lat"), F.col("lng")]
+    if not keys:
+        return _radius(visits(traj).orderBy(*order).limit(k), keys, f"{k}k_radius_of_gyration")
+    return _radius(visits(traj).withColumn("_r", F.row_number().over(_by(keys).orderBy(*order))).where(F.col("_r") <= k), keys, f"{k}k_radius_of_gyration")
 
 
 def number_of_locations(traj: DataFrame) -> DataFrame:

@@ -23,21 +23,23 @@ def key_summary(pings: DataFrame, key: str = "uid", lat: str = "lat", lng: str =
     The null key is a group of its own. Extents leave nulls out and are null where all is null; of several positions at
     the first or last time the smallest (lat, lng) counts.
     """
-    at = F.struct(F.col(lat).alias("lat"), F.col(lng).alias("lng"))
-    placed = F.col(lat).isNotNull() & F.col(lng).isNotNull() & F.col(time).isNotNull()
-    first = F.min(F.when(placed, F.struct(F.col(time).alias("t"), at.alias("p"))))
-    last = F.min(F.when(placed, F.struct((-micros(time)).alias("t"), at.alias("p"))))
-    return pings.groupBy(F.col(key).alias(key)).agg(
-        F.count("*").alias("n_rows"),
-        F.sum(placed.cast("long")).alias("n_placed"),
-        F.min(lat).alias("lat_min"), F.max(lat).alias("lat_max"),
-        F.min(lng).alias("lng_min"), F.max(lng).alias("lng_max"),
-        F.min(time).alias("first_time"), F.max(time).alias("last_time"),
-        first.alias("f"), last.alias("l"),
-    ).select(
-        key, "n_rows", "n_placed", "lat_min", "lat_max", "lng_min", "lng_max", "first_time", "last_time",
-        F.col("f.p.lat").alias("first_lat"), F.col("f.p.lng").alias("first_lng"), F.col("l.p.lat").alias("last_lat"), F.col("l.p.lng").alias("last_lng"),
+    rows = pings.select(F.col(key).alias("k"), F.col(time).alias("t"), F.col(lat).alias("y"), F.col(lng).alias("x"))
+    placed = F.col("y").isNotNull() & F.col("x").isNotNull() & F.col("t").isNotNull()
+    # Only numbers are aggregated here, so that hash tables do it, map-side first.
+    out = rows.groupBy("k").agg(
+        F.count("*").alias("n_rows"), F.sum(placed.cast("long")).alias("n_placed"),
+        F.min("y").alias("lat_min"), F.max("y").alias("lat_max"), F.min("x").alias("lng_min"), F.max("x").alias("lng_max"),
+        F.min("t").alias("first_time"), F.max("t").alias("last_time"),
+        F.min(F.when(placed, F.col("t"))).alias("_t0"), F.max(F.when(placed, F.col("t"))).alias("_t1"),
     )
+    # Positions of the first and last time: rows meet these by key and time together, which no hot key makes lopsided.
+    ends = out.where("_t0 is not null").select(F.col("k").alias("_k"), F.explode(F.array_distinct(F.array("_t0", "_t1"))).alias("_t"))
+    found = rows.where(placed).join(ends, F.col("k").eqNullSafe(F.col("_k")) & (F.col("t") == F.col("_t")), "left_semi")
+    found = found.groupBy("k", "t").agg(F.min(F.struct("y", "x")).alias("p"))
+    for name, at in (("first", "_t0"), ("last", "_t1")):
+        own = found.select(F.col("k").alias("_k"), F.col("t").alias("_t"), F.col("p.y").alias(f"{name}_lat"), F.col("p.x").alias(f"{name}_lng"))
+        out = out.join(own, F.col("k").eqNullSafe(F.col("_k")) & (F.col(at) == F.col("_t")), "left").drop("_k", "_t")
+    return out.select(F.col("k").alias(key), "n_rows", "n_placed", "lat_min", "lat_max", "lng_min", "lng_max", "first_time", "last_time", "first_lat", "first_lng", "last_lat", "last_lng")
 
 
 def heavy_keys(rows: DataFrame, key: str = "uid", share: float = 0.04) -> DataFrame:

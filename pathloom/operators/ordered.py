@@ -246,6 +246,21 @@ def ordered_map(df: DataFrame, key: str, order: list[str], kernel: Callable[[pa.
     return part.mapInArrow(run, schema)
 
 
+def running(df: DataFrame, order: list, name: str, value: Column | None = None) -> DataFrame:
+    """``df`` with the sum of ``value`` (default 1, which numbers the rows from 0) over the rows before in the order of all rows.
+
+    Rows are sorted by ranges, each range is summed up by itself, and the sums of the ranges, one row each, are added.
+    """
+    names = df.columns
+    ranges = df.withColumn("_v", F.lit(1).cast("long") if value is None else value).orderBy(*order).select(F.struct(*names).alias("_row"), "_v", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i"))
+    ranges = written(ranges, "ranges")
+    sums = ranges.groupBy("_p").agg(F.sum("_v").alias("_s"))
+    sums = sums.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))  # a row per range
+    own = F.coalesce(F.sum("_v").over(Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = ranges.withColumn("_b", own).join(F.broadcast(sums), F.col("_p") == F.col("_q"))
+    return out.select(*[F.col("_row")[c].alias(c) for c in names], (F.col("_o") + F.col("_b")).alias(name))
+
+
 def with_previous(df: DataFrame, key: str, order: list[str], values: dict[str, str], time: str | None = None) -> DataFrame:
     """``df`` with columns of the row before in the key's order: ``values`` maps new names to columns.
 

@@ -27,8 +27,11 @@ def _corners(tiles: DataFrame) -> int:
 
 def within(geometry: str, x: str, y: str) -> Column:
     """Whether a point lies in rings of {x, y} (even-odd), as an expression: for tables of tiles too large to send to every task."""
-    edge = f"(p, i) -> if((p.y > {y}) <> (r[(i + 1) % size(r)].y > {y}) and {x} < p.x + ({y} - p.y) * (r[(i + 1) % size(r)].x - p.x) / if(r[(i + 1) % size(r)].y = p.y, 1D, r[(i + 1) % size(r)].y - p.y), 1, 0)"
-    return F.expr(f"aggregate({geometry}, 0, (n, r) -> n + aggregate(transform(r, {edge}), 0, (a, b) -> a + b)) % 2 = 1")
+    # The rule of Zones.containing: edges that span x, their left corner included, and lie above the point.
+    ring = "filter(r, p -> p.x is not null and p.y is not null)"
+    edges = f"transform({ring}, (p, i) -> if(p.x < {ring}[(i + 1) % size({ring})].x, struct(p as a, {ring}[(i + 1) % size({ring})] as b), struct({ring}[(i + 1) % size({ring})] as a, p as b)))"
+    above = f"e -> e.a.x <= {x} and {x} < e.b.x and e.a.y + ({x} - e.a.x) * ((e.b.y - e.a.y) / (e.b.x - e.a.x)) > {y}"
+    return F.expr(f"aggregate(filter({geometry}, r -> r is not null), 0, (n, r) -> n + size(filter({edges}, {above}))) % 2 = 1")
 
 
 def map_to_tiles(points: DataFrame, tiles: DataFrame, tile_id: str = "tile_ID", remove_na: bool = False, lat: str = "lat", lng: str = "lng", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
@@ -38,10 +41,10 @@ def map_to_tiles(points: DataFrame, tiles: DataFrame, tile_id: str = "tile_ID",
     Up to ``most_broadcast`` corners the tiles are sent to every task and points don't move. Beyond, both sides meet in
     cells of a grid as wide as the tiles usually are, and the exact test follows.
     """
+    names = points.columns
     if _corners(tiles) <= most_broadcast:
         own = _tiles(tiles, tile_id)
         held = points.sparkSession.sparkContext.broadcast((own["tile"].to_numpy(), Zones(own["rings"].tolist())))
-        names = points.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, zones = held.value
@@ -57,33 +60,64 @@ def map_to_tiles(points: DataFrame, tiles: DataFrame, tile_id: str = "tile_ID",
                 yield pa.record_batch([*out.columns, pa.array(tile.tolist(), pa.string())], names=[*names, "tile_ID"])
 
         return points.mapInArrow(run, T.StructType([*points.schema.fields, T.StructField("tile_ID", T.StringType())]))
-    box = tiles.select(F.col(tile_id).cast("string").alias("tile_ID"), "geometry").withColumns({n: F.expr(f"array_{f}(flatten(transform(geometry, r -> transform(r, p -> p.{c}))))") for n, f, c in (("_x0", "min", "x"), ("_x1", "max", "x"), ("_y0", "min", "y"), ("_y1", "max", "y"))})
-    size = box.select(F.greatest(F.percentile_approx(F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")), 0.5), F.lit(1e-6))).first()[0]
+    ends = {n: F.expr(f"array_{f}(flatten(transform(filter(geometry, r -> r is not null), r -> transform(r, p -> p.{c}))))") for n, f, c in (("_x0", "min", "x"), ("_x1", "max", "x"), ("_y0", "min", "y"), ("_y1", "max", "y"))}
+    box = tiles.select(F.col(tile_id).cast("string").alias("_tile"), "geometry").withColumns(ends).withColumn("_wide", F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))).where("_wide is not null")
+    # Cells are so wide that the tiles wider than four of them can be sent to every task; the others touch 25 cells at most.
+    steps = [0.5, 0.9, 0.99, 0.999, 1.0]
+    wide = box.select(F.percentile_approx("_wide", F.array(*[F.lit(s) for s in steps]), F.lit(10_000))).first()[0] or [1.0]
+    for size in [max(w, 1e-6) for w in wide] + [max(wide[-1], 1e-6) * 2]:
+        large = box.where(F.col("_wide") > 4 * size)
+        if _corners(large) <= most_broadcast:
+            break
+    few = _tiles(large.withColumnRenamed("_tile", "tile_ID"), "tile_ID")
+    held = points.sparkSession.sparkContext.broadcast((few["tile"].to_numpy(), Zones(few["rings"].tolist())))
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with the list of the large tiles that hold them."""
+        ids, zones = held.value
+        for b in batches:
+            y, x = (b.column(names.index(c)).to_numpy(zero_copy_only=False).astype(float) for c in (lat, lng))
+            ok = np.flatnonzero(np.isfinite(y) & np.isfinite(x))
+            i, z = zones.containing(y[ok], x[ok])
+            o = np.argsort(ok[i], kind="stable")
+            ends_ = np.r_[0, np.cumsum(np.bincount(ok[i], minlength=b.num_rows))].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends_), pa.array(ids[z[o]].tolist() if len(z) else [], pa.string()))
+            yield pa.record_batch([*b.columns, lists], names=[*names, "_large"])
+
+    left = points.mapInArrow(seen, T.StructType([*points.schema.fields, T.StructField("_large", T.ArrayType(T.StringType()))]))
     cell = lambda c: F.floor(F.col(c) / F.lit(size))
-    right = box.withColumn("_cx", F.explode(F.sequence(cell("_x0"), cell("_x1")))).withColumn("_cy", F.explode(F.sequence(cell("_y0"), cell("_y1")))).drop("_x0", "_x1", "_y0", "_y1")
-    left = points.withColumns({"_cx": cell(lng), "_cy": cell(lat)})
-    joined = left.join(right, (left["_cx"] == right["_cx"]) & (left["_cy"] == right["_cy"]) & within("geometry", f"`{lng}`", f"`{lat}`"), "inner" if remove_na else "left")
-    return joined.select(*[left[c] for c in points.columns], "tile_ID")
+    right = box.where(F.col("_wide") <= 4 * size).withColumn("_cx", F.explode(F.sequence(cell("_x0"), cell("_x1")))).withColumn("_cy", F.explode(F.sequence(cell("_y0"), cell("_y1"))))
+    right = right.select(F.col("_cx").alias("_rx"), F.col("_cy").alias("_ry"), F.col("geometry").alias("_rings"), "_tile")
+    cells = left.withColumns({"_cx": cell(lng), "_cy": cell(lat)})
+    met = cells.join(right, (F.col("_cx") == F.col("_rx")) & (F.col("_cy") == F.col("_ry")) & within("_rings", f"`{lng}`", f"`{lat}`"), "inner" if remove_na else "left")
+    met = met.where(F.col("_tile").isNotNull() | (F.size("_large") == 0))
+    return met.select(*names, F.col("_tile").alias("tile_ID")).unionByName(left.select(*names, F.explode("_large").alias("tile_ID")))
 
 
-def nearest_tile(points: DataFrame, tiles: DataFrame, tile_id: str = "tile_ID", tile_lat: str = "lat", tile_lng: str = "lng", lat: str = "lat", lng: str = "lng", km: str | None = None) -> DataFrame:
+def nearest_tile(points: DataFrame, tiles: DataFrame, tile_id: str = "tile_ID", tile_lat: str = "lat", tile_lng: str = "lng", lat: str = "lat", lng: str = "lng", km: str | None = None, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """``points`` with ``tile_ID`` of the nearest of point tiles (ties: the smallest id), and its distance as column ``km`` if named.
 
-    Tiles are sent to every task as k-d splits; each search doubles its reach until something is found.
+    Tiles are sent to every task as k-d splits, ``most_broadcast`` at a time if there are more; each search widens its reach
+    until something is found. Points without position have none.
     """
-    rows = tiles.select(F.col(tile_id).cast("string"), F.col(tile_lat).cast("double"), F.col(tile_lng).cast("double")).dropna().orderBy(tile_id).limit(MOST_BROADCAST + 1).collect()
-    if len(rows) > MOST_BROADCAST:
-        raise ValueError(f"more than {MOST_BROADCAST} point tiles: map to regions first")
-    ids, ty, tx = np.array([r[0] for r in rows], object), np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
-    held = points.sparkSession.sparkContext.broadcast((ids, ty, tx))
-    names = points.columns
-
+    all_ = tiles.select(F.col(tile_id).cast("string").alias("t"), F.col(tile_lat).cast("double").alias("y"), F.col(tile_lng).cast("double").alias("x")).dropna()
+    blocks = max(1, -(-all_.count() // most_broadcast))
+    out = points.withColumns({"_tile": F.lit(None).cast("string"), "_km": F.lit(None).cast("double")})
+    for k in range(blocks):  # of each block the nearest so far is handed on
+        rows = sorted(map(tuple, all_.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).collect()))
+        held = points.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], object), np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)))
+        out = out.mapInArrow(_nearer(held, out.columns, lat, lng), out.schema)
+    kept = [F.col("_km").alias(km)] if km else []
+    return out.select(*points.columns, F.col("_tile").alias("tile_ID"), *kept)
+
+
+def _nearer(held, names: list[str], lat: str, lng: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, ty, tx = held.value
         finders: dict[float, Sites] = {}
         for b in batches:
-            y, x = (b.column(names.index(c)).to_numpy(zero_copy_only=False).astype(float) for c in (lat, lng))
-            best, far = np.full(len(y), -1), np.full(len(y), np.nan)
+            y, x, before = (b.column(names.index(c)).to_numpy(zero_copy_only=False).astype(float) for c in (lat, lng, "_km"))
+            best, far = np.full(len(y), -1), np.full(len(y), np.inf)
             left, reach = np.flatnonzero(np.isfinite(y) & np.isfinite(x)) if len(ids) else np.empty(0, int), 1000.0
             while len(left):
                 if reach not in finders:
@@ -93,13 +127,13 @@ def nearest_tile(points: DataFrame, tiles: DataFrame, tile_id: str = "tile_ID",
                 i, s, d = i[o], s[o], d[o]
                 first = np.r_[True, i[1:] != i[:-1]][: len(i)]
                 best[left[i[first]]], far[left[i[first]]] = s[first], d[first] / 1000
-                left, reach = left[best[left] < 0], reach * 4
-            tile = [ids[k] if k >= 0 else None for k in best]
-            extra = [pa.array(far, from_pandas=True)] if km else []
-            yield pa.record_batch([*b.columns, pa.array(tile, pa.string()), *extra], names=[*names, "tile_ID", *([km] if km else [])])
+                left = left[(best[left] < 0) & ~(before[left] <= reach / 1000)]  # what an earlier block has nearer needn't be looked for
+                reach *= 4
+            old = b.column(names.index("_tile")).to_pylist()
+            tile = [(ids[k] if k >= 0 and (o is None or f < g or (f == g and ids[k] < o)) else o) for k, f, g, o in zip(best, far, before, old)]
+            yield pa.record_batch([*b.columns[:-2], pa.array(tile, pa.string()), pa.array(np.where(np.isfinite(np.fmin(far, before)), np.fmin(far, before), np.nan), from_pandas=True)], names=names)
 
-    fields = [T.StructField("tile_ID", T.StringType()), *([T.StructField(km, T.DoubleType())] if km else [])]
-    return points.mapInArrow(run, T.StructType([*points.schema.fields, *fields]))
+    return run
 
 
 def to_flows(mapped: DataFrame, self_loops: bool = True) -> DataFrame:
@@ -108,17 +142,23 @@ def to_flows(mapped: DataFrame, self_loops: bool = True) -> DataFrame:
     A point without a tile breaks the chain on both sides.
     """
     order = [c for c in ("tid",) if c in mapped.columns] + ["datetime", "lat", "lng"]
-    pairs = with_previous(mapped, "uid", order, {"_from": "tile_ID"}, time="datetime") if order[0] == "datetime" else _by_trip(mapped, order)
+    pairs = with_previous(mapped, "uid", order, {"_from": "tile_ID"}, time="datetime") if order[0] == "datetime" else _by_trip(mapped)
     moved = pairs.where(F.col("_from").isNotNull() & F.col("tile_ID").isNotNull())
     if not self_loops:
         moved = moved.where(F.col("_from") != F.col("tile_ID"))
     return moved.groupBy(F.col("_from").alias("origin"), F.col("tile_ID").alias("destination")).agg(F.count("*").alias("flow"))
 
 
-def _by_trip(mapped: DataFrame, order: list[str]) -> DataFrame:
+def _by_trip(mapped: DataFrame) -> DataFrame:
+    """The tile of the point before: in the same trip, or for a trip's first point the last of the individual's trip before."""
     from pyspark.sql import Window
 
-    return mapped.withColumn("_from", F.lag("tile_ID").over(Window.partitionBy("uid").orderBy(*order)))
+    rows = mapped.where(F.col("uid").isNotNull()).select("uid", "tid", "datetime", "lat", "lng", "tile_ID").withColumn("_trip", F.to_json(F.struct("uid", "tid")))
+    rows = with_previous(rows, "_trip", ["datetime", "lat", "lng"], {"_from": "tile_ID", "_was": "datetime"}, time="datetime")
+    last = rows.groupBy("_trip", "uid", "tid").agg(F.max(F.struct("datetime", "lat", "lng", "tile_ID"))["tile_ID"].alias("_last"))
+    before = last.select(F.col("_trip").alias("_t"), F.lag("_last").over(Window.partitionBy("uid").orderBy("tid")).alias("_edge"))  # a row per trip
+    out = rows.join(before, F.col("_trip") == F.col("_t"))
+    return out.withColumn("_from", F.when(F.col("_was").isNull(), F.col("_edge")).otherwise(F.col("_from")))
 
 
 def group_by_time(traj: DataFrame, every: str = "1 day", offset: str = "0 hours", add_starting_location: bool = False) -> DataFrame:
@@ -172,11 +212,11 @@ def centroids(tiles: DataFrame) -> DataFrame:
 
 
 def flow_between(flows: DataFrame, tiles: DataFrame, origin: str, destination: str, tile_id: str = "tile_ID") -> DataFrame:
-    """One row ``origin``, ``destination``, ``flow``: 0 where there is none. Unknown tiles are an error."""
+    """One row ``origin``, ``destination``, ``flow``: 0 where there is none, the sum where there are several. Unknown tiles are an error."""
     known = {r[0] for r in tiles.where(F.col(tile_id).cast("string").isin(origin, destination)).select(F.col(tile_id).cast("string")).distinct().collect()}
     if {origin, destination} - known:
         raise ValueError(f"unknown tiles: {sorted({origin, destination} - known)}")
-    found = flows.where((F.col("origin") == origin) & (F.col("destination") == destination)).agg(F.coalesce(F.first("flow"), F.lit(0)).alias("flow"))
+    found = flows.where((F.col("origin") == origin) & (F.col("destination") == destination)).agg(F.coalesce(F.sum("flow"), F.lit(0)).alias("flow"))
     return found.select(F.lit(origin).alias("origin"), F.lit(destination).alias("destination"), "flow")
 
 

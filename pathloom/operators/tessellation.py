@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.geo import mercator_lat, mercator_lng
 from pathloom.operators.near import Zones
+from pathloom.operators.ordered import running
 
 _REGISTRY: dict[str, Callable] = {}
 
@@ -93,8 +94,7 @@ def squares(spark: SparkSession, base: list | tuple, meters: float = 50) -> Data
 
 def point_tiles(points: DataFrame, order: list[str] | None = None) -> DataFrame:
     """``points`` as tiles: ``tile_ID`` "0", "1", ... in the order given. Mapping to the nearest (see spatial) makes their cells."""
-    rank = F.row_number().over(Window.orderBy(*(order or ["lat", "lng"]))) - 1
-    return points.withColumn("tile_ID", rank.cast("string"))
+    return running(points, order or ["lat", "lng"], "_n").withColumn("tile_ID", F.col("_n").cast("string")).drop("_n")
 
 
 # Average edge length (km) and area (km2) of the cells of the public hexagonal grid, by resolution 0 to 15.

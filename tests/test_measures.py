@@ -129,3 +129,17 @@ def test_geo(spark):
     assert one.select(decimal_degrees(F.lit(43.0), F.lit(50.0), F.lit(34.85))).first()[0] == pytest.approx(43.84301388888)
     lat, lng = degree_offsets(F.lit(A[0]), 15)
     assert one.select(lat, lng).first()[:] == pytest.approx((0.134989200863, 0.187162559305), rel=1e-4)
+
+
+def test_p_values(spark):
+    """Of Student's t; with n = 4 the p-value is 1 - |r|, with n = 3 it is 1 - 2 asin(|r|) / pi."""
+    import math
+
+    from pathloom.operators import evaluation as g
+
+    df = spark.createDataFrame([(0.6, 4), (-0.25, 4), (0.5, 3), (1.0, 9), (0.0, 50), (float("nan"), 9), (0.9, 2), (0.3, 1_000_000)], "r double, n long")
+    got = [r.p for r in df.withColumn("p", g.p_value(F.col("r"), F.col("n"))).collect()]
+    assert got[:5] == pytest.approx([0.4, 0.75, 1 - 2 * math.asin(0.5) / math.pi, 0.0, 1.0], abs=1e-12) and got[5:7] == [None, None] and got[7] == 0
+    rows = spark.createDataFrame([("a", float(i), float(i * i % 7)) for i in range(12)] + [("b", 1.0, 2.0)], "g string, t double, p double")
+    found = {r.g: r.p_value for r in g.with_p_value(g.spearman_correlation(rows, "t", "p", ["g"])).collect()}
+    assert 0 < found["a"] <= 1 and found["b"] is None

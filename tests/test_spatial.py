@@ -42,6 +42,49 @@ def test_mapping_both_forms(nine, tiles):
     assert spatial.map_to_tiles(nine.limit(0), tiles).count() == 0
 
 
+def test_borders_are_the_same_in_both_forms(spark):
+    """Corners, edges and slanted borders: a point belongs to the same tiles, whichever way they are found."""
+    ring = lambda *p: [[{"x": float(x), "y": float(y)} for x, y in p]]
+    shapes = [("a", ring((0, 0), (2, 2), (2, 0), (0, 0))), ("b", ring((0, 0), (2, 2), (0, 2))), ("c", ring((2, 0), (2, 2), (4, 2), (4, 0), (2, 0))), ("d", ring((0, 2), (0, 3), (4, 3), (4, 2), (0, 2))), ("e", None), ("f", []), ("g", ring((-100, -100), (100, -100), (100, 100), (-100, 100))), ("h", ring((0, 0), (3, 1), (1, 3)) + ring((1, 1), (1.5, 1.25), (1.25, 1.5)))]
+    tiles = spark.createDataFrame(shapes, T.StructType([T.StructField("tile_ID", T.StringType()), T.StructField("geometry", GEOMETRY)]))
+    at = [i / 4 for i in range(-2, 19)]
+    points = spark.createDataFrame([(i, y, x) for i, (y, x) in enumerate((y, x) for y in at for x in at)] + [(900, None, 1.0), (901, 1.0, float("nan"))], "id long, lat double, lng double")
+    found = []
+    for most in (spatial.MOST_BROADCAST, 5, 0):
+        for lone in (False, True):
+            found.append(sorted((r.id, r.tile_ID or "") for r in spatial.map_to_tiles(points, tiles, remove_na=lone, most_broadcast=most).collect()))
+    assert found[0] == found[2] == found[4] and found[1] == found[3] == found[5]
+    assert [f for f in found[0] if f[1]] == found[1] and {i for i, t in found[0] if not t} == {900, 901}
+
+
+def test_nearest_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    tiles = spark.createDataFrame([(f"t{i:03d}", float(y), float(x)) for i, (y, x) in enumerate(zip(rng.uniform(-80, 80, 300), rng.uniform(-180, 180, 300)))] + [("t999", 10.0, 10.0), ("t998", 10.0, 10.0)], "tile_ID string, lat double, lng double")
+    points = spark.createDataFrame([(float(y), float(x)) for y, x in zip(rng.uniform(-90, 90, 200), rng.uniform(-180, 180, 200))] + [(None, 1.0), (10.0, 10.0)], "lat double, lng double")
+    one = sorted(map(str, spatial.nearest_tile(points, tiles, km="km").collect()))
+    assert one == sorted(map(str, spatial.nearest_tile(points, tiles, km="km", most_broadcast=40).collect()))
+    assert any("tile_ID='t998'" in r for r in one) and spatial.nearest_tile(points, tiles.limit(0)).where("tile_ID is not null").count() == 0
+
+
+def test_flows_of_trips(spark):
+    """With trips the order is that of trips, then of time; a trip's first point follows the last of the trip before."""
+    t = dt.datetime(2011, 1, 1)
+    rows = [(1, k, t + dt.timedelta(minutes=m), 0.0, 0.0, tile) for k, m, tile in ((2, 0, "c"), (2, 5, "d"), (1, 9, "a"), (1, 10, "b"), (3, 1, None), (4, 0, "e"))] + [(None, 1, t, 0.0, 0.0, "z"), (None, 1, t, 0.0, 0.0, "y")]
+    df = spark.createDataFrame(rows, "uid long, tid long, datetime timestamp_ntz, lat double, lng double, tile_ID string")
+    assert {(r.origin, r.destination, r.flow) for r in spatial.to_flows(df).collect()} == {("a", "b", 1), ("b", "c", 1), ("c", "d", 1)}
+
+
+def test_running_sums_over_all_rows(spark):
+    from pathloom.operators import ordered
+
+    df = spark.range(0, 1000, 1, 7).select((F.col("id") * 37 % 1000).alias("v"), F.lit(1).alias("_p"), F.lit(2).alias("_i"))
+    got = ordered.running(df, ["v"], "n").orderBy("v").collect()
+    assert [r.n for r in got] == list(range(1000)) and got[0]._p == 1
+    total = ordered.running(df, [F.desc("v")], "n", F.col("v")).orderBy("v").collect()
+    assert all(r.n == sum(range(r.v + 1, 1000)) for r in total)
+    assert ordered.running(df.limit(0), ["v"], "n").count() == 0
+
+
 def test_flows(nine, tiles):
     mapped = spatial.map_to_tiles(nine, tiles)
     flows = {(r.origin, r.destination): r.flow for r in spatial.to_flows(mapped).collect()}
