@@ -61,6 +61,29 @@ class Trajectories:
     def where(self, condition):
         return self.with_df(self.df.where(condition))
 
+    def join(self, other: DataFrame, on, how: str = "inner"):
+        return self.with_df(self.df.join(other, on, how))
+
+    def union(self, other: Trajectories | DataFrame):
+        """The rows of both, columns matched by name; what was done to this one stays on record."""
+        return self.with_df(self.df.unionByName(other if isinstance(other, DataFrame) else other.df, allowMissingColumns=True))
+
+    def distinct(self, columns: list[str] | None = None):
+        return self.with_df(self.df.dropDuplicates(columns) if columns else self.df.distinct())
+
+    def order_by(self, *columns):
+        return self.with_df(self.df.orderBy(*columns))
+
+    def with_column(self, name: str, value):
+        return self.with_df(self.df.withColumn(name, value))
+
+    def set_parameter(self, key: str, value) -> Trajectories:
+        return dataclasses.replace(self, parameters={**self.parameters, key: value})
+
+    def set_crs(self, crs: dict) -> Trajectories:
+        """The same positions under the name of another reference system (nothing is projected)."""
+        return dataclasses.replace(self, crs=dict(crs))
+
     def settings_from(self, other: Trajectories) -> Trajectories:
         return dataclasses.replace(self, crs=dict(other.crs), parameters=dict(other.parameters))
 
@@ -132,6 +155,28 @@ class Flows:
         spatial.check_flows(df, tiles, tile_id)
         return Flows(df, tiles, tile_id, parameters or {})
 
+    def with_df(self, df: DataFrame) -> Flows | DataFrame:
+        """Derived flows; the plain DataFrame where a required column is lost."""
+        return dataclasses.replace(self, df=df) if schema.has_flow_columns(df) else df
+
+    def select(self, *columns):
+        return self.with_df(self.df.select(*columns))
+
+    def where(self, condition):
+        return self.with_df(self.df.where(condition))
+
+    def join(self, other: DataFrame, on, how: str = "inner"):
+        return self.with_df(self.df.join(other, on, how))
+
+    def union(self, other: Flows | DataFrame):
+        return self.with_df(self.df.unionByName(other if isinstance(other, DataFrame) else other.df, allowMissingColumns=True))
+
+    def distinct(self, columns: list[str] | None = None):
+        return self.with_df(self.df.dropDuplicates(columns) if columns else self.df.distinct())
+
+    def set_parameter(self, key: str, value) -> Flows:
+        return dataclasses.replace(self, parameters={**self.parameters, key: value})
+
     def get_flow(self, origin: str, destination: str) -> DataFrame:
         return spatial.flow_between(self.df, self.tiles, origin, destination, self.tile_id)
 

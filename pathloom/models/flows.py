@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.geo import haversine_km, haversine_np
+from pathloom.operators.ordered import column, whole_groups
+from pathloom.session import written
 
 MOST_TILES = 200_000
 FORMATS = ("flows", "flows_sample", "probabilities")
@@ -128,37 +130,85 @@ class Gravity:
         """A model with the exponents and the deterrence that fit the flows best: Poisson regression with a log link.
 
         Flows within a tile, with unknown tiles or to tiles without relevance are left out. Singly constrained models have
-        a term for each origin.
+        a term for each origin, others one term in all. These terms drop out: given the sums of each origin the flows are
+        multinomial, and Newton's method needs a few sums over the pairs for each step, one task for each share of origins.
         """
-        from pyspark.ml import Pipeline
-        from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-        from pyspark.ml.regression import GeneralizedLinearRegression
-
         t = tiles.select(F.col(tile_id).cast("string").alias("t"), F.col("lat").cast("double").alias("y"), F.col("lng").cast("double").alias("x"), F.col(relevance).cast("double").alias("m"))
         o, d = (t.select(*[F.col(c).alias(f"{p}{c}") for c in t.columns]) for p in ("o", "d"))
         rows = flows.where("origin <> destination and flow is not null").join(o, F.col("origin") == F.col("ot")).join(d, F.col("destination") == F.col("dt")).where("dm > 0")
         km = haversine_km(F.col("oy"), F.col("ox"), F.col("dy"), F.col("dx"))
         rows = rows.withColumn("_km", km).where("_km > 0")
         far = -F.col("_km") if self.deterrence == "exponential" else F.log("_km")
-        rows = rows.select("origin", F.col("flow").cast("double").alias("flow"), F.log("dm").alias("_d"), far.alias("_f"), F.when(F.col("om") > 0, F.log("om")).alias("_o"))
         single = self.constraint == "singly constrained"
-        if not single:
-            rows = rows.where("_o is not null")
-        stages = [StringIndexer(inputCol="origin", outputCol="_i"), OneHotEncoder(inputCol="_i", outputCol="_c", dropLast=True)] if single else []
-        features = ["_d", "_f", "_c"] if single else ["_d", "_f", "_o"]
-        model = Pipeline(stages=[*stages, VectorAssembler(inputCols=features, outputCol="features"), GeneralizedLinearRegression(family="poisson", link="log", labelCol="flow", maxIter=50)]).fit(rows)
-        w = model.stages[-1].coefficients
+        features = ["d", "f"] if single else ["d", "f", "o"]
+        rows = rows.select("origin", F.col("flow").cast("double").alias("n"), F.log("dm").alias("d"), far.alias("f"), F.when(F.col("om") > 0, F.log("om")).alias("o"))
+        rows = rows if single else rows.where("o is not null")
+        rows = written(rows.select("origin", "n", *features).repartition("origin").sortWithinPartitions("origin"), "pairs")
+        size = len(features)
+        # one term in all: every share of the pairs tells its sums relative to its own greatest score
+        shares = rows.repartition("origin").sortWithinPartitions("origin") if single else rows
+
+        def sums(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+            """Log-likelihood, gradient and Hessian at ``w``."""
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                groups = whole_groups(batches, ["origin"]) if single else ((pa.table(b), np.arange(b.num_rows) == 0) for b in batches if b.num_rows)
+                for t, starts in groups:
+                    x, n = np.column_stack([column(t, c) for c in features]), column(t, "n")
+                    score = x @ w
+                    at = np.flatnonzero(starts)
+                    top = np.maximum.reduceat(score, at)
+                    e = np.exp(score - np.repeat(top, np.diff(np.r_[at, len(n)])))
+                    add = lambda v: np.add.reduceat(v, at, axis=0)
+                    pair = (x[:, :, None] * x[:, None, :]).reshape(len(n), -1)
+                    cells = np.column_stack([top, add(e), add(n), add(n * score), add(e[:, None] * x), add(n[:, None] * x), add(e[:, None] * pair)])
+                    if single:
+                        cells = _multinomial(cells, size).sum(axis=0)[None]
+                    yield pa.record_batch([pa.array(cells.tolist(), pa.list_(pa.float64()))], names=["v"])
+
+            parts = np.array([r[0] for r in shares.mapInArrow(run, "v array<double>").collect()])  # a row for every batch of pairs at most
+            if not len(parts):
+                return 0.0, np.zeros(size), np.zeros((size, size))
+            if not single:
+                parts[:, [1, *range(4, 4 + size), *range(4 + 2 * size, parts.shape[1])]] *= np.exp(parts[:, :1] - parts[:, 0].max())
+                parts[:, 0] = parts[:, 0].max()
+                parts = _multinomial(np.r_[parts[:1, :1], parts[:, 1:].sum(axis=0)[:, None]].reshape(1, -1), size)
+            v = parts.sum(axis=0)
+            return float(v[0]), v[1 : 1 + size], v[1 + size :].reshape(size, size)
+
+        w = np.array([1.0, 0.0 if self.deterrence == "exponential" else -1.0, 1.0][:size])
+        value, slope, bend = sums(w)
+        for _ in range(50):
+            step = np.linalg.lstsq(-bend, slope, rcond=None)[0]
+            if not np.isfinite(step).all() or np.abs(step).max() < 1e-9:
+                break
+            for _ in range(30):
+                new = sums(w + step)
+                if new[0] >= value - 1e-9 * abs(value):
+                    break
+                step = step / 2
+            w, (value, slope, bend) = w + step, new
         return dataclasses.replace(self, destination_exp=float(w[0]), argument=float(w[1]), origin_exp=self.origin_exp if single else float(w[2]))
 
 
+def _multinomial(cells: np.ndarray, size: int) -> np.ndarray:
+    """By group: log-likelihood, its gradient and its Hessian, from the greatest score, sums of weights, flows, flows times score, weighted
+    features, features times flows and weighted products of features."""
+    top, e, n, score = cells[:, 0], cells[:, 1], cells[:, 2], cells[:, 3]
+    mean = cells[:, 4 : 4 + size] / e[:, None]
+    products = cells[:, 4 + 2 * size :] / e[:, None]
+    spread = products - (mean[:, :, None] * mean[:, None, :]).reshape(len(cells), -1)
+    return np.column_stack([score - n * (top + np.log(e)), cells[:, 4 + size : 4 + 2 * size] - n[:, None] * mean, -n[:, None] * spread])
+
+
 @dataclasses.dataclass
 class Radiation:
     """Flows by the relevance that lies nearer than the destination."""
 
     def probabilities(self, a: TileArrays, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """(destinations in the order of distance, probabilities); ties in distance in the order of tiles."""
+        """(destinations in the order of distance, probabilities); ties in distance, to the micrometre, in the order of tiles."""
         d = haversine_np(a.lat[i], a.lng[i], a.lat, a.lng)
-        j = np.lexsort((np.arange(len(d)), d))
+        j = np.lexsort((np.arange(len(d)), np.round(d, 9)))
         j = j[j != i]
         m, n = a.relevance[i], a.relevance[j]
         inside = np.r_[0.0, np.cumsum(n)[:-1]] if len(n) else n

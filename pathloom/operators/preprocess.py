@@ -96,7 +96,7 @@ def _overreach(far: np.ndarray, late: np.ndarray, max_speed: float, speed: float
     the first if it is reached too fast, else the farthest of a quick return, if there is one."""
     if late[0] == 0 or far[0] / (late[0] / 3600) > max_speed:
         return 0
-    far, late = far[:-1], late[:-1]
+    far, late = np.round(far[:-1], 9), late[:-1]  # to the micrometre, so that equal ways are equal
     apex = int(far.argmax())
     home = (np.arange(len(far)) > apex) & (far < ratio * far[apex])  # back near the kept point
     if not home.any():

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pathloom.functions.geo import mercator_x, mercator_y
 from pathloom.operators.near import MOST_BROADCAST, Sites, Zones, _rings
 from pathloom.operators.ordered import with_previous
 
@@ -196,6 +197,17 @@ def bounds(points: DataFrame) -> DataFrame:
     return points.agg(F.min("lng").alias("min_lng"), F.min("lat").alias("min_lat"), F.max("lng").alias("max_lng"), F.max("lat").alias("max_lat"))
 
 
+def area_bounds(tiles: DataFrame) -> DataFrame:
+    """One row: the bounds of all corners of tiles with rings of {x, y}."""
+    corners = tiles.select(F.explode(F.flatten("geometry")).alias("p"))
+    return corners.agg(F.min("p.x").alias("min_lng"), F.min("p.y").alias("min_lat"), F.max("p.x").alias("max_lng"), F.max("p.y").alias("max_lat"))
+
+
+def to_web_mercator(tiles: DataFrame) -> DataFrame:
+    """Tiles with their rings in metres of Web-Mercator instead of degrees."""
+    return tiles.withColumn("geometry", F.transform("geometry", lambda r: F.transform(r, lambda p: F.struct(mercator_x(p["x"]).alias("x"), mercator_y(p["y"]).alias("y")))))
+
+
 def _shoelace() -> Column:
     """{a, x, y}: twice the signed area, and the moments of the first ring, relative to its first corner."""
     ring = "geometry[0]"

@@ -42,3 +42,5 @@ _attack("attack_proportion_k2", lambda: p.LocationProportionAttack(2), f"SELECT
 _RANKED = "(SELECT * FROM (SELECT uid, lat, lng, row_number() OVER (PARTITION BY uid ORDER BY f, lat, lng) AS r FROM v) WHERE r = {})"
 _attack("attack_homework", p.HomeWorkAttack, f"SELECT a.uid, least((a.lat, a.lng), (b.lat, b.lng)) AS x, greatest((a.lat, a.lng), (b.lat, b.lng)) AS y FROM {_RANKED.format(1)} a JOIN {_RANKED.format(2)} b ON a.uid = b.uid", "x, y")
 _attack("attack_frequency_tolerance", lambda: p.LocationFrequencyAttack(1, 0.5), None, None)
+ORACLE["attack_frequency_tolerance"] = f"""{_PAIRS}, met AS (SELECT a.uid, a.lat, a.lng, count(*) AS n FROM v a JOIN v b ON a.lat = b.lat AND a.lng = b.lng AND a.f >= b.f - b.f * 0.5::DOUBLE AND a.f <= b.f + b.f * 0.5::DOUBLE GROUP BY ALL)
+ SELECT uid, round(max(1.0::DOUBLE / n), 6) AS risk FROM met GROUP BY uid"""

@@ -17,10 +17,26 @@ QUERIES: dict = {}
 ORACLE: dict = {}
 
 
+PINGS_SQL = "traj AS (SELECT uid, datetime, lat, lng FROM privacy_toy WHERE uid IS NOT NULL AND datetime >= TIMESTAMP '2005-01-01' AND datetime < TIMESTAMP '2036-01-01' AND lat BETWEEN -90 AND 90 AND lng BETWEEN -180 AND 180)"
+#: Measures that are also taken of the pings: copies, late ones, 180 degrees and heavy individuals.
+_OF_PINGS = ("radius_of_gyration", "number_of_locations", "random_entropy", "uncorrelated_entropy", "maximum_distance", "distance_straight_line", "number_of_visits", "home_location", "max_distance_from_home", "individual_mobility_network", "frequency_rank", "recency_rank", "random_location_entropy", "visits_per_location", "homes_per_location", "visits_per_time_unit")
+
+
+def _pings(spark: SparkSession, folder: str) -> DataFrame:
+    t = F.col("datetime")
+    rows = table(spark, folder, "privacy_toy").where((t >= F.lit("2005-01-01").cast("timestamp")) & (t < F.lit("2036-01-01").cast("timestamp")))
+    return rows.where("uid is not null and lat between -90 and 90 and lng between -180 and 180").select("uid", "datetime", "lat", "lng")
+
+
 def _over_trajectories(name: str, measure, sql: str | None) -> None:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         return rounded(measure(trajectories(spark, folder)))
 
+    if name in _OF_PINGS:
+        # sums of great size depend on order in more of their digits
+        QUERIES[f"pings_{name}"] = lambda spark, folder: rounded(measure(_pings(spark, folder)), 4)
+        ORACLE[f"pings_{name}"] = f"WITH {PINGS_SQL}, vis AS (SELECT uid, lat, lng, count(*) AS n, min(datetime) AS first, max(datetime) AS last FROM traj GROUP BY ALL), {_STEPS} {sql}".replace(", 6)", ", 4)")
+
     QUERIES[name] = query
     if sql:
         ORACLE[name] = f"WITH {TRAJ_SQL}, vis AS (SELECT uid, lat, lng, count(*) AS n, min(datetime) AS first, max(datetime) AS last FROM traj GROUP BY ALL), {_STEPS} {sql}"
@@ -55,7 +71,13 @@ _over_trajectories("random_entropy", i.random_entropy, "SELECT uid, round(log2(c
 _P = "(SELECT uid, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY uid) AS p FROM vis)"
 _over_trajectories("uncorrelated_entropy", i.uncorrelated_entropy, f"SELECT uid, round(CASE WHEN count(*) > 1 THEN -sum(p * log2(p)) ELSE 0 END, 6) AS uncorrelated_entropy FROM {_P} GROUP BY uid")
 _over_trajectories("norm_uncorrelated_entropy", lambda t: i.uncorrelated_entropy(t, normalize=True), f"SELECT uid, round(CASE WHEN count(*) > 1 THEN -sum(p * log2(p)) / log2(count(*)) ELSE 0 END, 6) AS norm_uncorrelated_entropy FROM {_P} GROUP BY uid")
-_over_trajectories("real_entropy", i.real_entropy, None)
+# Each location as one character, so that a match is a substring: the longest known one at i, plus one (one more if it reaches the end).
+_over_trajectories("real_entropy", i.real_entropy, """, loc AS (SELECT uid, lat, lng, chr((200 + row_number() OVER (PARTITION BY uid ORDER BY lat, lng))::INTEGER) AS c FROM vis),
+ seq AS (SELECT uid, string_agg(c, '' ORDER BY datetime, lat, lng) AS s, count(*) AS n FROM traj JOIN loc USING (uid, lat, lng) GROUP BY uid),
+ pos AS (SELECT uid, s, n, unnest(range(1, n - 1)) AS i FROM seq),
+ hit AS (SELECT uid, n, i, coalesce(max(m), 0) AS m FROM (SELECT uid, n, i, unnest(range(0, least(i, n - i) + 1)) AS m, s FROM pos) WHERE contains(s[1:i], s[i + 1:i + m]) GROUP BY ALL),
+ tot AS (SELECT uid, sum(CASE WHEN i + m + 1 < n THEN m + 1 ELSE n - i + 1 END) AS t FROM hit GROUP BY uid)
+ SELECT uid, round(CASE WHEN n < 2 THEN 0 ELSE n * log2(n) / (3 + coalesce(t, 0)) END, 6) AS real_entropy FROM seq LEFT JOIN tot USING (uid)""")
 _over_trajectories("jump_lengths", lambda t: _us(i.jumps(t)), "SELECT uid, epoch_us(datetime) AS us, round(d, 6) AS jump_length FROM step WHERE t IS NOT NULL")
 _over_trajectories("maximum_distance", i.maximum_distance, "SELECT uid, round(coalesce(max(d), 'NaN'::DOUBLE), 6) AS maximum_distance FROM step GROUP BY uid")
 _over_trajectories("distance_straight_line", i.distance_straight_line, "SELECT uid, round(coalesce(sum(d), 0), 6) AS distance_straight_line FROM step GROUP BY uid")

@@ -46,7 +46,20 @@ def filter_speed(spark: SparkSession, folder: str) -> DataFrame:
     return _us(preprocess.filter_speed(trajectories(spark, folder), max_speed_kmh=0.5))
 
 
-@_query()
+_LEFT = _H("here.lat", "here.lng", "p.lat", "p.lng")
+
+
+@_query(f"""WITH RECURSIVE {TRAJ_SQL}, f AS (
+ SELECT uid, list(struct_pack(lat := lat, lng := lng, us := epoch_us(datetime)) ORDER BY datetime, lat, lng) AS own, 1::BIGINT AS i FROM traj GROUP BY uid
+ UNION ALL
+ SELECT uid, CASE WHEN gone IS NULL THEN own ELSE list_concat(own[:gone - 1], own[gone + 1:]) END, CASE WHEN gone IS NULL THEN i + 1 ELSE i END FROM (
+  SELECT uid, own, i, CASE WHEN late[1] = 0 OR far[1] / (late[1] / 3600) > 50::DOUBLE THEN i + 1
+   WHEN home IS NOT NULL AND list_sum(far[:home - 1]) * 3600 > 0.2::DOUBLE * list_sum(late[:home - 1]) AND list_sum(late[:home - 1]) > 0 THEN i + apex END AS gone FROM (
+   SELECT *, list_filter(range(apex + 1, m), lambda j: far[j] < 0.25::DOUBLE * far[apex])[1] AS home FROM (
+    SELECT *, list_position(far[:m - 1], list_max(far[:m - 1])) AS apex FROM (
+     SELECT uid, own, i, least(6, len(own) - i) AS m, list_transform(own[i + 1:i + least(6, len(own) - i)], lambda p: round({_LEFT.replace("here.", "own[i].")}, 9)) AS far,
+      list_transform(own[i + 1:i + least(6, len(own) - i)], lambda p: (p.us - own[i].us) / 1e6::DOUBLE) AS late FROM f WHERE i <= len(own) - 2)))))
+ SELECT uid, p.us AS us, round(p.lat, 6) AS lat, round(p.lng, 6) AS lng FROM (SELECT uid, unnest(own) AS p FROM f WHERE i > len(own) - 2)""")
 def filter_loops(spark: SparkSession, folder: str) -> DataFrame:
     return _us(preprocess.filter_speed(trajectories(spark, folder), max_speed_kmh=50.0, include_loops=True, speed_kmh=0.2))
 
@@ -84,7 +97,17 @@ def cluster_min1(spark: SparkSession, folder: str) -> DataFrame:
     return _us(preprocess.cluster(trajectories(spark, folder), cluster_radius_km=1.0))
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {TRAJ_SQL}, q AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY datetime, lat, lng) AS i FROM traj), loc AS (SELECT uid, lat, lng, count(*) AS n, min(i) AS seen FROM q GROUP BY ALL),
+ link AS (SELECT a.uid, a.seen AS x, b.seen AS y, b.n FROM loc a JOIN loc b ON a.uid = b.uid AND {_H("a.lat", "a.lng", "b.lat", "b.lng")} * 6371.0088 / 6371.0 <= 1::DOUBLE),
+ core AS (SELECT uid, x FROM link GROUP BY ALL HAVING sum(n) >= 4),
+ tie AS (SELECT l.uid, l.x, l.y FROM link l JOIN core a ON a.uid = l.uid AND a.x = l.x JOIN core b ON b.uid = l.uid AND b.x = l.y),
+ reach AS (SELECT uid, x, x AS y FROM core UNION SELECT r.uid, r.x, t.y FROM reach r JOIN tie t ON t.uid = r.uid AND t.x = r.y),
+ comp AS (SELECT uid, x, min(y) AS c FROM reach GROUP BY ALL),
+ held AS (SELECT l.uid, l.x, min(c.c) AS c FROM link l JOIN comp c ON c.uid = l.uid AND c.x = l.y GROUP BY ALL),
+ own AS (SELECT uid, x, coalesce(comp.c, held.c) AS c FROM held LEFT JOIN comp USING (uid, x)),
+ size AS (SELECT own.uid, c, sum(n) AS n FROM own JOIN loc ON loc.uid = own.uid AND loc.seen = own.x GROUP BY ALL),
+ lab AS (SELECT uid, c, row_number() OVER (PARTITION BY uid ORDER BY n DESC, c DESC) - 1 AS cluster FROM size)
+ SELECT t.uid, epoch_us(t.datetime) AS us, round(t.lat, 6) AS lat, round(t.lng, 6) AS lng, coalesce(cluster, -1) AS cluster FROM traj t JOIN loc USING (uid, lat, lng) LEFT JOIN own ON own.uid = t.uid AND own.x = loc.seen LEFT JOIN lab ON lab.uid = own.uid AND lab.c = own.c""")
 def dbscan(spark: SparkSession, folder: str) -> DataFrame:
     return _us(preprocess.cluster(trajectories(spark, folder), cluster_radius_km=1.0, min_samples=4))
 
@@ -187,7 +210,13 @@ def tile_centroids(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(spatial.centroids(table(spark, folder, "tessellation")).select("tile_id", "lat", "lng"))
 
 
-@_query()
+@_query("""WITH rings AS (SELECT tile_id, generate_subscripts(geometry, 1) AS k, unnest(geometry) AS ring FROM tessellation),
+ corners AS (SELECT tile_id, k, generate_subscripts(ring, 1) AS i, unnest(ring) AS c FROM rings),
+ edges AS (SELECT tile_id, c.x AS x0, c.y AS y0, lead(c.x) OVER w AS x1, lead(c.y) OVER w AS y1 FROM corners WINDOW w AS (PARTITION BY tile_id, k ORDER BY i)),
+ edge AS (SELECT tile_id, least(x0, x1) AS xa, CASE WHEN x0 < x1 THEN y0 ELSE y1 END AS ya, greatest(x0, x1) AS xb, CASE WHEN x0 < x1 THEN y1 ELSE y0 END AS yb FROM edges WHERE x0 <> x1),
+ p AS (SELECT row_number() OVER () AS r, lat AS y, lng AS x FROM privacy_toy),
+ met AS (SELECT r, tile_id FROM p JOIN edge ON x >= xa AND x < xb WHERE ya + (x - xa) * ((yb - ya) / (xb - xa)) > y GROUP BY r, tile_id HAVING count(*) % 2 = 1)
+ SELECT tile_id AS tile_ID, count(*) AS n_pings FROM p LEFT JOIN met USING (r) GROUP BY tile_id""")
 def mapped_pings(spark: SparkSession, folder: str) -> DataFrame:
     """Pings by tile of the tessellation table."""
     pings = table(spark, folder, "privacy_toy").select("ping_id", "lat", "lng")

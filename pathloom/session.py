@@ -34,12 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table written to the shared folder: cuts lineage and survives the loss of executors. :func:`clean` deletes it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for files of one's own; :func:`clean` deletes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if not _WRITTEN:
         atexit.register(clean, spark)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 _WRITTEN: list[str] = []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,11 +91,17 @@ def read_plt(spark: SparkSession, path: str, user_ids: list[str] | None = None,
 def read_timeline(spark: SparkSession, path: str, user_id=None, min_accuracy_meters: float | None = None) -> Trajectories:
     """Location histories as JSON: ``locations`` with latitudeE7, longitudeE7, timestampMs and accuracy."""
     kind = "locations array<struct<latitudeE7:long,longitudeE7:long,timestampMs:string,accuracy:double>>"
-    rows = spark.read.schema(kind).option("multiLine", True).json(path).select(F.explode("locations").alias("l"))
+    return timeline_of(spark.read.schema(kind).option("multiLine", True).json(path), None if user_id is None else F.lit(user_id), min_accuracy_meters)
+
+
+def timeline_of(documents: DataFrame, user: Column | None = None, min_accuracy_meters: float | None = None) -> Trajectories:
+    """From documents that were read before, for instance one a line: ``user`` tells whose each is."""
+    rows = documents.select(F.explode("locations").alias("l"), *([user.alias("uid")] if user is not None else []))
     if min_accuracy_meters is not None:
         rows = rows.where(F.col("l.accuracy") < min_accuracy_meters)
-    df = rows.select(F.timestamp_millis(F.col("l.timestampMs").cast("long")).cast("timestamp_ntz").alias("datetime"), (F.col("l.latitudeE7") / 1e7).alias("lat"), (F.col("l.longitudeE7") / 1e7).alias("lng"))
-    return Trajectories.of(df.withColumn("uid", F.lit(user_id)) if user_id is not None else df)
+    own = ["uid"] if user is not None else []
+    df = rows.select(*own, F.timestamp_millis(F.col("l.timestampMs").cast("long")).cast("timestamp_ntz").alias("datetime"), (F.col("l.latitudeE7") / 1e7).alias("lat"), (F.col("l.longitudeE7") / 1e7).alias("lng"))
+    return Trajectories.of(df)
 
 
 def read_geojson(spark: SparkSession, path: str, tile_id: str | None = None) -> DataFrame:
