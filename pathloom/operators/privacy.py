@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.operators.individual import frequency_vector, probability_vector
+from pathloom.session import written
 
 PRECISIONS = {"year": "yyyy", "month": "yyyyMM", "day": "yyyyMMdd", "hour": "yyyyMMddHH", "minute": "yyyyMMddHHmm", "second": "yyyyMMddHHmmss"}
 
@@ -56,6 +57,10 @@ class Attack:
         """``uid``, ``e`` (struct of the element's fields), and ``at`` (their order) where order matters."""
         return traj.select("uid", F.struct("lat", "lng").alias("e"))
 
+    def by_elements(self) -> bool:
+        """Whether instances are the same just where their elements are."""
+        return type(self).key is Attack.key and type(self)._counts is Attack._counts
+
     def key(self, inst: Column) -> Column:
         """What instances are compared by. Where order doesn't matter, elements are sorted before they are combined, so instances are too."""
         return inst
@@ -94,13 +99,44 @@ class Attack:
         fits = own.groupBy("size", "key").agg(F.count("*").alias("n"))
         return own.join(fits, ["size", "key"])
 
+    def _pair_risks(self, traj: DataFrame, chosen: DataFrame | None) -> DataFrame:
+        """``uid``, ``risk`` for two elements: they are numbered once, each individual's distinct pairs follow from its distinct
+        elements, and one shuffle of three numbers a pair counts whom it fits."""
+        rows = self.elements(traj.where("uid is not null and lat is not null and lng is not null"))
+        if self.ordered:
+            rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("uid").orderBy("at")))
+        else:
+            rows = rows.withColumn("i", F.lit(1))
+        held = rows.groupBy("uid", "e").agg(F.count("*").alias("n"), F.min("i").alias("a"), F.max("i").alias("b"))
+        numbers = written(held.select("e").distinct().withColumn("x", F.monotonically_increasing_id()), "elements")
+        own = held.join(numbers, "e").groupBy("uid").agg(F.collect_list(F.struct("x", "n", "a", "b")).alias("own"), F.sum("n").alias("m"))
+        one = F.transform("own", lambda p: p["x"])
+        if self.ordered:
+            pairs = lambda p: F.transform(F.filter("own", lambda q: p["a"] < q["b"]), lambda q: q["x"])
+        else:
+            pairs = lambda p: F.transform(F.filter("own", lambda q: (p["x"] < q["x"]) | ((p["x"] == q["x"]) & (p["n"] > 1))), lambda q: q["x"])
+        two = own.where("m > 1").select("uid", "own", F.explode("own").alias("p")).select("uid", F.col("p.x").alias("x"), F.explode(pairs(F.col("p"))).alias("y"))
+        fits = two.withColumn("n", F.count("*").over(Window.partitionBy("x", "y")))
+        risks = fits.groupBy("uid").agg(F.min("n").alias("n"))
+        # whoever has a single element is known by it alone
+        alone = own.where("m = 1").select("uid", F.explode(one).alias("x"))
+        everyone = held.join(numbers, "e").groupBy("x").agg(F.count("*").alias("n"))
+        risks = risks.unionByName(alone.join(everyone, "x").select("uid", "n"))
+        if chosen is not None:
+            risks = risks.join(chosen, "uid", "left_semi")
+        return risks.select("uid", (F.lit(1.0) / F.col("n")).alias("risk"))
+
     def assess_risk(self, traj: DataFrame, targets: DataFrame | list | None = None, force_instances: bool = False) -> DataFrame:
         """``uid``, ``risk``; or with ``force_instances`` each element of each instance with its probability (``prob``)."""
+        chosen = None
+        if targets is not None:
+            chosen = targets.select("uid").distinct() if isinstance(targets, DataFrame) else traj.sparkSession.createDataFrame([(t,) for t in targets], f"uid {traj.schema['uid'].dataType.simpleString()}")
+        if self.knowledge_length == 2 and not force_instances and self.by_elements():
+            return self._pair_risks(traj, chosen)
         counts = self._counts(traj)
         # An instance is a target's only in the length that its elements allow.
         most = self._few(traj).select("uid", F.least(F.size("own"), F.lit(self.knowledge_length)).alias("size"))
-        if targets is not None:
-            chosen = targets.select("uid").distinct() if isinstance(targets, DataFrame) else traj.sparkSession.createDataFrame([(t,) for t in targets], f"uid {traj.schema['uid'].dataType.simpleString()}")
+        if chosen is not None:
             most = most.join(chosen, "uid", "left_semi")
         own = counts.join(most, ["uid", "size"])
         if not force_instances:
@@ -163,6 +199,9 @@ class _Valued(Attack):
 
     relative = False  # to the greatest number of the instance
 
+    def by_elements(self) -> bool:
+        return not self.relative and self.tolerance == 0
+
     def key(self, inst: Column) -> Column:
         if not self.relative:
             return inst
