@@ -30,6 +30,10 @@ def truncated_power_law(rng: np.random.Generator, exponent: float, rate: float,
             return float(x)
 
 
+#: Bytes of rows that a worker keeps.
+MOST_ROW_BYTES = 64_000_000
+
+
 class _Rows:
     """Rows of the matrix of probabilities, on demand."""
 
@@ -38,7 +42,7 @@ class _Rows:
 
     def __getitem__(self, i: int) -> np.ndarray:
         if i not in self.kept:
-            if len(self.kept) > 2_000:
+            if (len(self.kept) + 1) * 8 * len(self.tiles.ids) > MOST_ROW_BYTES:
                 self.kept.clear()
             self.kept[i] = self.gravity.probabilities(self.tiles, i)
         return self.kept[i]

@@ -23,6 +23,8 @@ MOST_BROADCAST = 200_000
 LEAF_POINTS = 2_000_000
 #: Sites from which the splits of the partitioned form are fitted.
 SPLIT_SAMPLE = 100_000
+#: Places of a leaf or stripe, about (before halo copies); there are at least 16 stripes and at most 4,000.
+LEAF_PLACES = 5_000
 
 
 class KDSplits:
@@ -71,7 +73,10 @@ class KDSplits:
                     hit.append(int(self.leaf_of[n]))
                 else:
                     x = p[self.axis[n]]
-                    stack += [int(self.kids[n, 0])] * (x - d <= self.at[n]) + [int(self.kids[n, 1])] * (x + d > self.at[n])
+                    if x - d <= self.at[n]:
+                        stack.append(int(self.kids[n, 0]))
+                    if x + d > self.at[n]:
+                        stack.append(int(self.kids[n, 1]))
             out.append(hit)
         return out
 
@@ -229,7 +234,8 @@ def _partitioned(rows: DataFrame, places: DataFrame, sites: bool, out: str) -> D
     spark = rows.sparkSession
     if sites:
         sample = places.select("lat", "lng", "radius_m").where("lat is not null and lng is not null").orderBy(F.xxhash64("place_id")).limit(SPLIT_SAMPLE).toPandas()
-        tree = KDSplits(unit_vectors(sample["lat"], sample["lng"]), chord(sample["radius_m"]), max(16, len(sample) // 256))
+        count = max(1, places.count())
+        tree = KDSplits(unit_vectors(sample["lat"], sample["lng"]), chord(sample["radius_m"]), max(16, min(len(sample) // 256, len(sample) * LEAF_PLACES // count)))
 
         def leaf_of(y, x):
             return tree.locate(unit_vectors(y, x))
@@ -242,7 +248,8 @@ def _partitioned(rows: DataFrame, places: DataFrame, sites: bool, out: str) -> D
         low = F.expr("array_min(flatten(transform(geometry, r -> transform(r, p -> p.x))))")
         high = F.expr("array_max(flatten(transform(geometry, r -> transform(r, p -> p.x))))")
         places = places.withColumns({"_lo": low, "_hi": high})
-        cut = places.select(F.percentile_approx("_lo", F.array(*[F.lit(i / 256) for i in range(1, 256)]))).first()[0] or []
+        stripes = int(np.clip(places.count() // LEAF_PLACES, 256, 4_000))
+        cut = places.select(F.percentile_approx("_lo", F.array(*[F.lit(i / stripes) for i in range(1, stripes)]), F.lit(40_000))).first()[0] or []
         cut = np.unique(np.array(cut, float))
 
         def leaf_of(y, x):
@@ -261,7 +268,7 @@ def _partitioned(rows: DataFrame, places: DataFrame, sites: bool, out: str) -> D
         return pd.Series(leaves_of(f))
 
     left = rows.withColumn("leaf", leaf("y", "x"))
-    counts = {r[0]: r[1] for r in left.groupBy("leaf").agg(F.count("*")).collect()}  # at most about 512 leaves
+    counts = {r[0]: r[1] for r in left.groupBy("leaf").agg(F.count("*")).collect()}  # a number of leaves that follows the places, of which there are no more than the driver can list
     parts = {k: -(-n // LEAF_POINTS) for k, n in counts.items()}
     table = spark.createDataFrame([(int(k), int(v)) for k, v in parts.items()] or [(-1, 1)], "leaf int, parts int")
     left = left.join(F.broadcast(table), "leaf").withColumn("salt", (F.pmod(F.monotonically_increasing_id(), F.col("parts"))).cast("int"))

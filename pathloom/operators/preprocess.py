@@ -2,8 +2,8 @@
 
 Each is a fold over one trajectory's points in the order of time, by uid and, where present, tid; whole partitions of
 trajectories go through one Arrow kernel. A step of more than twice the radius ends any run and any stay, so compression
-and stay locations cut hot individuals (without tid) at such steps. The state of the speed filter and of clusters is left
-whole by no cut: there a trajectory is one group.
+and stay locations cut hot individuals (without tid) at such steps. The state of the speed filter is left
+whole by no cut: there a trajectory is one group. Clusters are made of an individual's distinct positions.
 Points with a null in datetime or position are left out. Extra columns are kept.
 """
 
@@ -275,13 +275,16 @@ def stay_locations(traj: DataFrame, stop_radius_factor: float = 0.5, minutes_for
     return _folded(rows, keys, cuts, kernel, T.StructType(fields))
 
 
-def dbscan(y: np.ndarray, x: np.ndarray, radius_km: float, min_samples: int) -> np.ndarray:
+def dbscan(y: np.ndarray, x: np.ndarray, radius_km: float, min_samples: int, counts: np.ndarray | None = None) -> np.ndarray:
     """Labels of points in order: 0 for the largest cluster and so on (of two as large, the one first seen later comes first), -1 for noise.
 
-    Equal positions are looked at once. Neighbours are sought in the 27 cells around a cell as wide as the radius.
+    Equal positions are looked at once; ``counts`` tells how often each given one occurs. Neighbours are sought in the 27 cells
+    around a cell as wide as the radius.
     """
-    place, back, weight = np.unique(np.column_stack([y, x]), axis=0, return_inverse=True, return_counts=True)
+    place, back = np.unique(np.column_stack([y, x]), axis=0, return_inverse=True)
     back = back.ravel()
+    counts = np.ones(len(back), np.int64) if counts is None else counts
+    weight = np.bincount(back, counts, len(place))
     order = np.full(len(place), len(back))
     np.minimum.at(order, back, np.arange(len(back)))  # when a position is first seen
     v = unit_vectors(place[:, 0], place[:, 1])
@@ -315,7 +318,7 @@ def dbscan(y: np.ndarray, x: np.ndarray, radius_km: float, min_samples: int) ->
                         stack.append(j)
         count += 1
     points = label[back]
-    size = np.bincount(points[points >= 0], minlength=count)
+    size = np.bincount(points[points >= 0], counts[points >= 0], minlength=count)
     rank = np.empty(count + 1, np.int64)
     rank[sorted(range(count), key=lambda k: (-size[k], -k))] = np.arange(count)
     rank[count] = -1
@@ -325,10 +328,19 @@ def dbscan(y: np.ndarray, x: np.ndarray, radius_km: float, min_samples: int) ->
 def cluster(traj: DataFrame, cluster_radius_km: float = 0.1, min_samples: int = 1) -> DataFrame:
     """Density-based clusters of each individual's points: ``cluster`` is added, 0 for the most frequent, -1 for noise."""
     rows, keys = _prepared(traj, by_trip=False)
+    at = [*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("lat").alias("_y"), F.col("lng").alias("_x")]
+    # An individual's distinct positions, combined map-side, are what is clustered; its rows only meet their labels.
+    names = [f"_k{i}" for i in range(len(keys))]
+    seen = rows.groupBy(*at).agg(F.count("*").alias("_n"), F.min("_us").alias("_us"))
 
     def kernel(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, y, x = _arrays(t)
-        label = np.concatenate([dbscan(y[a:b], x[a:b], cluster_radius_km, min_samples) for a, b in _spans(starts)])
-        yield from t.drop_columns(["_us"]).append_column("cluster", pa.array(label, pa.int64())).combine_chunks().to_batches()
-
-    return grouped_map(rows, keys, ["_us", "lat", "lng"], kernel, T.StructType([*traj.schema.fields, T.StructField("cluster", T.LongType())]))
+        y, x, n = (t.column(c).to_numpy() for c in ("_y", "_x", "_n"))
+        label = np.concatenate([dbscan(y[a:b], x[a:b], cluster_radius_km, min_samples, n[a:b]) for a, b in _spans(starts)])
+        yield from t.select([*names, "_y", "_x"]).append_column("_label", pa.array(label, pa.int64())).combine_chunks().to_batches()
+
+    kinds = T.StructType([f for f in seen.schema.fields if f.name in (*names, "_y", "_x")] + [T.StructField("_label", T.LongType())])
+    labels = grouped_map(seen, names, ["_us", "_y", "_x"], kernel, kinds)
+    same = (F.col("lat") == F.col("_y")) & (F.col("lng") == F.col("_x"))
+    for k, n in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return rows.join(labels, same).select(*traj.columns, F.col("_label").alias("cluster"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathloom.functions.geo import mercator_lat, mercator_lng
+from pathloom.functions.geo import EARTH_RADIUS_KM, mercator_lat, mercator_lng
 from pathloom.operators.near import Zones
 from pathloom.operators.ordered import running
 
@@ -113,13 +113,27 @@ def hexagon_resolution(meters: float, area_km2: float | None = None) -> int:
     return res
 
 
+def area_km2(base: list | tuple) -> float:
+    """The area of a bounding box, or of rings (the first less the others), by an equal-area projection of the sphere."""
+    if isinstance(base, tuple) and len(base) == 4:
+        x0, y0, x1, y1 = base
+        base = [[(x0, y0), (x1, y0), (x1, y1), (x0, y1)]]
+    sizes = []
+    for ring in base:
+        p = np.array(ring, float)
+        x, y = EARTH_RADIUS_KM * np.radians(p[:, 0]), EARTH_RADIUS_KM * np.sin(np.radians(p[:, 1]))
+        sizes.append(abs(float(np.dot(x, np.roll(y, -1)) - np.dot(np.roll(x, -1), y))) / 2)
+    return sizes[0] - sum(sizes[1:]) if sizes else 0.0
+
+
 def hexagons(spark: SparkSession, base: list | tuple, meters: float = 500) -> DataFrame:
     """Hexagons with edges of the resolution nearest to ``meters``, in Web-Mercator rows: ``tile_ID``, ``geometry`` in degrees.
 
-    Those whose centre lies in the shape are kept. ValueError if no centre does. The cells are this grid's own, not those
+    The shape's area bounds the size of the cells (see :func:`hexagon_resolution`). Those whose centre lies in the shape are
+    kept. ValueError if no centre does. The cells are this grid's own, not those
     of the public icosahedral grid, whose sizes it follows.
     """
-    edge = HEXAGON_EDGE_KM[hexagon_resolution(meters)] * 1000
+    edge = HEXAGON_EDGE_KM[hexagon_resolution(meters, area_km2(base))] * 1000
     rings = None if isinstance(base, tuple) and len(base) == 4 else [[_metres(*p) for p in ring] for ring in base]
     if rings is None:
         (ax, ay), (bx, by) = _metres(base[0], base[1]), _metres(base[2], base[3])

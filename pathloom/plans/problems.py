@@ -49,6 +49,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_places(table(spark, folder, "privacy_toy"), table(spark, folder, "places")).select("place_id", "ping_id").distinct()
 
 
+def p4_near_places_partitioned(spark: SparkSession, folder: str) -> DataFrame:
+    """With both sides partitioned, as for places that are too many to send to every task."""
+    found = near.near_places(table(spark, folder, "privacy_toy"), table(spark, folder, "places"), most_broadcast=0)
+    return found.select("place_id", "ping_id", F.round("distance_m", 3).alias("distance_m")).distinct()
+
+
 def p5_sessions(spark: SparkSession, folder: str) -> DataFrame:
     s = sessions.sessions(dated_pings(spark, folder), copies=["lat", "lng"])
     return s.select("uid", (F.col("start_us") / 1e6).cast("long").alias("start_s"), (F.col("end_us") / 1e6).cast("long").alias("end_s"), "duration_s", "n")
@@ -86,7 +92,7 @@ inside AS (SELECT place_id, ping_id FROM p JOIN edges ON x >= least(x0, x1) AND
 found AS (SELECT place_id, ping_id, round(d, 3) AS distance_m FROM near WHERE d <= radius_m UNION ALL SELECT place_id, ping_id, NULL FROM inside)
 """
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_key_summary, p2_path_measures, p3_found, p3_stops_and_trips, p4_found, p4_near_places, p5_found, p5_sessions, p6_found, p6_faults)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_key_summary, p2_path_measures, p3_found, p3_stops_and_trips, p4_found, p4_near_places, p4_near_places_partitioned, p5_found, p5_sessions, p6_found, p6_faults)}
 
 ORACLE = {
     "p2_found": "SELECT uid FROM privacy_toy WHERE uid IS NOT NULL GROUP BY uid HAVING count(*) >= 0.04 * (SELECT count(*) FROM privacy_toy)",
@@ -105,6 +111,7 @@ r AS (SELECT uid, (epoch_us(datetime) - epoch_us(t)) / 1e6::DOUBLE AS wait,
 SELECT uid, count(*) AS n, round(coalesce(sum(d), 0), 4) AS path_km, round(coalesce(max(d), 0), 4) AS longest_jump_km, round(coalesce(max(wait), 0), 4) AS longest_wait_s FROM r GROUP BY uid""",
     "p4_found": f"{_NEAR_SQL} SELECT DISTINCT place_id, ping_id FROM found",
     "p4_near_places": f"{_NEAR_SQL} SELECT place_id, ping_id, distance_m FROM found",
+    "p4_near_places_partitioned": f"{_NEAR_SQL} SELECT place_id, ping_id, distance_m FROM found",
     "p5_found": f"{_SESSIONS_SQL} SELECT DISTINCT uid, a // 1000000 AS start_s FROM r",
     "p5_sessions": f"{_SESSIONS_SQL} SELECT uid, a // 1000000 AS start_s, b // 1000000 AS end_s, (b - a) / 1e6::DOUBLE AS duration_s, n FROM r",
 }

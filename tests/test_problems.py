@@ -168,6 +168,18 @@ def test_near_both_forms(spark):
     assert near.near_places(df, places.limit(0)).count() == 0
 
 
+def test_near_with_many_leaves(spark):
+    """Sites enough for many leaves, zones for many stripes: both forms find the same."""
+    rng = np.random.default_rng(4)
+    ring = lambda x, y: [[{"x": x + a, "y": y + b} for a, b in ((0, 0), (0.02, 0), (0.02, 0.03), (0, 0.03), (0, 0))]]
+    rows = [(i, "site", float(y), float(x), float(r), None) for i, (y, x, r) in enumerate(zip(rng.uniform(44, 46, 400), rng.uniform(8, 10, 400), rng.uniform(50, 9000, 400)))]
+    rows += [(1000 + i, "zone", None, None, None, ring(float(x), float(y))) for i, (y, x) in enumerate(zip(rng.uniform(44, 46, 300), rng.uniform(8, 10, 300)))]
+    places = spark.createDataFrame(rows, PLACES)
+    df = pings(spark, [(1, y, x, T0) for y, x in zip(rng.uniform(44, 46, 1500), rng.uniform(8, 10, 1500))])
+    found = [sorted(map(str, near.near_places(df, places, most_broadcast=most).collect())) for most in (near.MOST_BROADCAST, 0)]
+    assert found[0] == found[1] and len(found[0]) > 1000
+
+
 def test_kd_splits_against_all_pairs():
     rng = np.random.default_rng(8)
     y, x, r = rng.uniform(-85, 85, 400), rng.uniform(-180, 180, 400), rng.uniform(10e3, 900e3, 400)

@@ -93,7 +93,7 @@ def test_shapes(spark, tmp_path):
     body = struct.pack("<i4d2ii", 5, 0, 0, 1, 1, 1, len(corners), 0) + b"".join(struct.pack("<2d", *c) for c in corners)
     data = b"\0" * 100 + struct.pack(">ii", 1, len(body) // 2) + body
     (tmp_path / "s.shp").write_bytes(data)
-    assert shapefile.polygons(data) == [(1, [corners])]
+    assert list(shapefile.polygons(data)) == [(1, [corners])]
     assert datasets.load_dataset(spark, "nyc_boundaries", str(tmp_path / "s.shp")).first().geometry[0][1].y == 1.0
 
 
