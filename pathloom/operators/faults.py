@@ -296,7 +296,7 @@ def moved_cuts(rows: DataFrame, cuts: Cuts, fits: Callable) -> Cuts:
     """``cuts`` moved to the first ping of each chunk where ``fits(us, y, x, starts)``; a chunk without any joins the one before."""
     if not cuts:
         return cuts
-    hot = cuts.spread(rows).where("chunk >= 0")
+    hot = cuts.spread(rows.select("k", *_ORDER)).where("chunk >= 0")
 
     def kernel(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = starts.copy()
@@ -314,20 +314,31 @@ def moved_cuts(rows: DataFrame, cuts: Cuts, fits: Callable) -> Cuts:
     return Cuts.of(ordered_map(hot, "k", ["us", "y", "x"], kernel, f"k {kind}, us long, y double, x double"), "k", ["us", "y", "x"])
 
 
-def scan(pings: DataFrame, kernel: Callable, schema: str, lim: Limits, key: str, point_id: str, lat: str, lng: str, time: str, fits: Callable) -> tuple[DataFrame, Cuts]:
+_ORDER = ["us", "y", "x"]
+
+
+def plausible(pings: DataFrame, lim: Limits, key: str, point_id: str, lat: str, lng: str, time: str) -> DataFrame:
+    """``id, k, us, y, x`` of the rows with a key and a plausible time and position."""
+    rows = _rows(pings, key, point_id, lat, lng, time)
+    return rows.where(F.col("k").isNotNull() & F.col("us").between(lim.first, lim.end - 1) & ~lim.no_place() & F.col("y").isNotNull() & F.col("x").isNotNull())
+
+
+def even_cuts(rows: DataFrame) -> Cuts:
+    """Cuts of hot sources into chunks half as large as elsewhere, as moving cuts joins chunks."""
+    return find_cuts(rows.select("k", *_ORDER), "k", _ORDER, ordered.CHUNK_ROWS // 2)
+
+
+def scan(rows: DataFrame, kernel: Callable, schema: str, lim: Limits, cuts: Cuts) -> DataFrame:
     """``kernel(table of distinct ids, first row of each distinct ping, us, y, x, starts, spikes, stuck)`` over the ordered plausible pings.
 
     Two passes share one shuffle by (key, chunk): the first profiles each chunk, whose small states give each source's
-    normal speed; the second flags. Hot sources are cut where ``fits`` allows it.
+    normal speed; the second flags. Rows are :func:`plausible`, and ``cuts`` are where nothing of interest reaches across.
     """
-    rows = _rows(pings, key, point_id, lat, lng, time).where(F.col("k").isNotNull() & F.col("us").between(lim.first, lim.end - 1) & ~lim.no_place() & F.col("y").isNotNull() & F.col("x").isNotNull())
     kind = rows.schema["k"].dataType.simpleString()
-    order = ["us", "y", "x"]
-    cuts = moved_cuts(rows.select("k", *order), find_cuts(rows.select("k", *order), "k", order, ordered.CHUNK_ROWS // 2), fits)
     keys = ["k", "chunk"] if cuts else ["k"]
     # The filter is what the join below would infer; stated here, both passes have the same plan and so share the exchange.
     spread = cuts.spread(rows, ["k", "us", "y", "x", "id"]).where(" and ".join(f"{c} is not null" for c in keys)).repartition(*keys)
-    sorting = ["k", "chunk", *order, "id"]
+    sorting = ["k", "chunk", *_ORDER, "id"]
 
     def distinct(t: pa.Table, starts: np.ndarray):
         new = starts.copy()
@@ -371,7 +382,7 @@ def scan(pings: DataFrame, kernel: Callable, schema: str, lim: Limits, key: str,
             sharp, held = flags(us, y, x, s, column(t, "speed")[at], (column(t, "reps")[at], column(t, "n")[at]), lim)
             yield from kernel(t, at, us, y, x, s, sharp, held)
 
-    return told.sortWithinPartitions(*sorting).mapInArrow(second, schema), cuts
+    return told.sortWithinPartitions(*sorting).mapInArrow(second, schema)
 
 
 def _rows(pings: DataFrame, key: str, point_id: str, lat: str, lng: str, time: str) -> DataFrame:
@@ -396,5 +407,6 @@ def faults(pings: DataFrame, key: str = "uid", point_id: str = "ping_id", lat: s
             yield pa.record_batch([t.column("id").take(i).combine_chunks(), t.column("k").take(i).combine_chunks(), pa.array([name] * len(i), pa.string())], names=["id", "k", "kind"])
 
     kinds = f"id {rows.schema['id'].dataType.simpleString()}, k {rows.schema['k'].dataType.simpleString()}, kind string"
-    moved, _ = scan(pings, kernel, kinds, lim, key, point_id, lat, lng, time, lambda us, y, x, starts: calm(us, y, x, starts, lim))
+    kept = plausible(pings, lim, key, point_id, lat, lng, time)
+    moved = scan(kept, kernel, kinds, lim, moved_cuts(kept, even_cuts(kept), lambda us, y, x, starts: calm(us, y, x, starts, lim)))
     return plain.unionByName(moved).distinct().select(F.col("id").alias(point_id), F.col("k").alias(key), "kind")

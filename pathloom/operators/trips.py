@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.geo import EARTH_RADIUS_KM, haversine_np, unit_vectors
-from pathloom.operators.faults import Limits, moving, scan
+from pathloom.operators.faults import Limits, calm, even_cuts, moved_cuts, moving, plausible, scan
 from pathloom.operators.near import chord
+from pathloom.operators.ordered import Cuts
 from pathloom.session import written
 
 
@@ -172,7 +173,8 @@ def stops_and_trips(pings: DataFrame, key: str = "uid", point_id: str = "ping_id
     the source stays, and the search goes on after it. A trip leads from the last ping of a stop to the first of the
     source's next, if no silence over ``silence_s`` lies between. Rows with a null in key, time or position are left
     out, copies count once, other columns are ignored and an empty table gives an empty result. Hot sources are cut
-    amid movement, where no stay can reach across; trips across a cut are put together from the cuts' states.
+    amid movement, where no stay can reach across; trips across a cut are put together from the cuts' states. Hot sources
+    that never leave are cut anywhere, as their stays follow from their chunks' extents.
     """
     stay, lim = stay or Stay(), limits or Limits()
     quiet = int(stay.silence_s * 1e6)
@@ -214,8 +216,17 @@ def stops_and_trips(pings: DataFrame, key: str = "uid", point_id: str = "ping_id
         )
 
     kind = pings.schema[key].dataType.simpleString()
+    kept = plausible(pings, lim, key, point_id, lat, lng, time)
+    even = even_cuts(kept)
+    cuts = moved_cuts(kept, even, moving)
+    # Sources cut far less often than evenly stand still for long; those that never leave need no cuts amid movement.
+    still = [k for k, b in even.bounds.items() if len(b[0]) - len(cuts.bounds.get(k, [[]])[0]) > 4]
+    stood = None
+    if still:
+        stood, gone = _standing(kept, still, even, stay, lim)
+        kept = kept.join(_listed(kept, gone), "k", "left_anti") if gone else kept
     schema = f"kind string, k {kind}, chunk int, start_us long, end_us long, n long, distance_km double, lat double, lng double, some boolean, us0 long, y0 double, x0 double, us1 long, y1 double, x1 double, before double, gap_before boolean, after double, gap_after boolean"
-    parts, cuts = scan(pings, kernel, schema, lim, key, point_id, lat, lng, time, moving)
+    parts = scan(kept, kernel, schema, lim, cuts)
     names = ["kind", "k", "start_us", "end_us", "n", "distance_km", "lat", "lng"]
     if cuts:
         parts = written(parts, "trips")
@@ -223,9 +234,76 @@ def stops_and_trips(pings: DataFrame, key: str = "uid", point_id: str = "ping_id
         parts = parts.where("kind <> 'edge'").select(*names).unionByName(across)
     else:
         parts = parts.select(*names)
+    parts = parts.unionByName(stood.select(*names)) if stood is not None else parts
     return parts.select("kind", F.col("k").alias(key), "start_us", "end_us", ((F.col("end_us") - F.col("start_us")) / F.lit(1e6)).alias("duration_s"), "n", "distance_km", "lat", "lng")
 
 
+def _listed(rows: DataFrame, keys: list) -> DataFrame:
+    """Hot sources, each with more than four chunks, so that there are at most a fourth of ``MOST_CUTS`` of them."""
+    return F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in keys], f"k {rows.schema['k'].dataType.simpleString()}"))
+
+
+def _standing(kept: DataFrame, still: list, even: Cuts, stay: Stay, lim: Limits) -> tuple[DataFrame, list]:
+    """The stops of those of the sources ``still`` that never leave, and these sources.
+
+    Each chunk tells the ball that holds its pings. If the balls between two silences all lie within the radius of the first
+    ping there, that is one stay; a source with a ball that doesn't isn't one of these.
+    """
+    rows = kept.join(_listed(kept, still), "k", "left_semi")
+    cuts = moved_cuts(rows, dataclasses.replace(even, bounds={k: even.bounds[k] for k in still}), lambda us, y, x, starts: calm(us, y, x, starts, lim))
+    quiet = int(stay.silence_s * 1e6)
+    names = ["k", "chunk", "us0", "us1", "y0", "x0", "y1", "x1", "n", "km", "sy", "sx", "p", "q", "r", "reach"]
+
+    def kernel(t, at, us, y, x, starts, sharp, held) -> Iterator[pa.RecordBatch]:
+        left = ~(sharp | held)
+        group = np.cumsum(starts) - 1
+        heads = at[np.flatnonzero(starts)]
+        us, y, x, group = us[left], y[left], x[left], group[left]
+        if not len(us):
+            return
+        new = np.r_[True, (group[1:] != group[:-1]) | (us[1:] - us[:-1] > quiet)]
+        a = np.flatnonzero(new)
+        n = np.diff(np.r_[a, len(us)])
+        b = a + n - 1
+        step = np.zeros(len(us))
+        step[1:] = haversine_np(y[:-1], x[:-1], y[1:], x[1:])
+        step[a] = 0
+        v = unit_vectors(y, x)
+        middle = np.add.reduceat(v, a) / n[:, None]
+        far = v - np.repeat(middle, n, axis=0)
+        reach = np.sqrt(np.maximum.reduceat(np.einsum("ij,ij->i", far, far), a))
+        east = (x - np.repeat(x[a], n) + 180) % 360 - 180
+        own = pa.array(heads[group[a]])
+        yield pa.record_batch([t.column("k").take(own).combine_chunks(), t.column("chunk").take(own).combine_chunks(), us[a], us[b], y[a], x[a], y[b], x[b], n.astype(np.int64), np.add.reduceat(step, a), np.add.reduceat(y, a), np.add.reduceat(east, a), *np.ascontiguousarray(middle.T), reach], names=names)
+
+    kind = kept.schema["k"].dataType.simpleString()
+    parts = scan(rows, kernel, f"k {kind}, chunk int, us0 long, us1 long, y0 double, x0 double, y1 double, x1 double, n long, km double, sy double, sx double, p double, q double, r double, reach double", lim, cuts)
+    reachable = float(chord(stay.radius_km * 1000))
+
+    def join(f: pd.DataFrame) -> pd.DataFrame:  # a row per chunk and silence
+        f = f.sort_values(["chunk", "us0"]).reset_index(drop=True)
+        us0, us1 = f["us0"].to_numpy(), f["us1"].to_numpy()
+        a = np.flatnonzero(np.r_[True, us0[1:] - us1[:-1] > quiet])
+        many = np.diff(np.r_[a, len(f)])
+        first = np.repeat(a, many)
+        anchor = unit_vectors(f["y0"].to_numpy()[first], f["x0"].to_numpy()[first])
+        out = np.linalg.norm(f[["p", "q", "r"]].to_numpy() - anchor, axis=1) + f["reach"].to_numpy() > reachable
+        columns = ["kind", "k", "start_us", "end_us", "n", "distance_km", "lat", "lng"]
+        if out.any():
+            return pd.DataFrame([("moves", f["k"].iloc[0], 0, 0, 0, 0.0, 0.0, 0.0)], columns=columns)
+        step = np.r_[0.0, haversine_np(f["y1"].to_numpy()[:-1], f["x1"].to_numpy()[:-1], f["y0"].to_numpy()[1:], f["x0"].to_numpy()[1:])]
+        step[a] = 0
+        n, x0 = np.add.reduceat(f["n"].to_numpy(), a), f["x0"].to_numpy()
+        east = f["sx"].to_numpy() + f["n"].to_numpy() * ((x0 - x0[first] + 180) % 360 - 180)
+        end = us1[a + many - 1]
+        found = pd.DataFrame({"kind": "stop", "k": f["k"].iloc[0], "start_us": us0[a], "end_us": end, "n": n, "distance_km": np.add.reduceat(f["km"].to_numpy() + step, a), "lat": np.add.reduceat(f["sy"].to_numpy(), a) / n, "lng": (x0[a] + np.add.reduceat(east, a) / n + 180) % 360 - 180})
+        return found[end - us0[a] >= stay.least_s * 1e6][columns]
+
+    told = written(parts.groupBy("k").applyInPandas(join, f"kind string, k {kind}, start_us long, end_us long, n long, distance_km double, lat double, lng double"), "standing")
+    moves = {r[0] for r in told.where("kind = 'moves'").select("k").collect()}  # hot sources at most
+    return told.where("kind = 'stop'"), [k for k in still if k not in moves]
+
+
 _NAMES = ["kind", "k", "chunk", "start_us", "end_us", "n", "distance_km", "lat", "lng", "some", "us0", "y0", "x0", "us1", "y1", "x1", "before", "gap_before", "after", "gap_after"]
 
 

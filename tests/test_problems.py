@@ -133,6 +133,27 @@ def test_groups_stay_small(spark, lopsided, monkeypatch, sent):
             assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_standing_sources_are_cut(spark, monkeypatch):
+    """A hot source that never leaves, with spikes and silences, one that leaves in the end, and one on a single spot: as uncut."""
+    rng = np.random.default_rng(8)
+    rows, t = [], T0
+    for i in range(6000):
+        t += dt.timedelta(seconds=20) if i not in (1500, 4000) else dt.timedelta(hours=30)
+        far = 0.5 if i % 211 == 7 else 0.0
+        rows.append((1, 45 + rng.normal(0, 5e-5) + far, (179.99995 + rng.normal(0, 5e-5) + 180) % 360 - 180, t))
+        rows.append((2, 45 + rng.normal(0, 5e-5), 9 + max(0, i - 5000) * 0.001, t))
+        rows.append((3, 10.0, 10.0, t))
+    df = pings(spark, rows).cache()
+    told = lambda r: (r.kind, r.uid, r.start_us, r.end_us, r.n, round(r.distance_km, 6), round(r.lat, 9), round(r.lng, 9))
+    want = sorted(told(r) for r in trips.stops_and_trips(df).collect())
+    assert sum(w[1] == 1 for w in want) == 3 and sum(w[1] == 3 for w in want) == 3 and sum(w[1] == 2 for w in want) >= 3
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", 1000)
+    seen = []
+    real = trips._standing
+    monkeypatch.setattr(trips, "_standing", lambda *a: (lambda r: (seen.append(sorted(r[1])), r)[1])(real(*a)))
+    assert sorted(told(r) for r in trips.stops_and_trips(df).collect()) == want and seen == [[1, 3]]
+
+
 def place_rows():
     ring = [(8.999, 44.999), (9.001, 44.999), (9.001, 45.001), (8.999, 45.001), (8.999, 44.999)]
     hole = [(8.9995, 44.9995), (9.0005, 44.9995), (9.0005, 45.0005), (8.9995, 45.0005), (8.9995, 44.9995)]
