@@ -111,12 +111,15 @@ def stuck(us, y, x, starts, share, lim: Limits) -> np.ndarray:
 
 #: Scales are taken from so many pings at least; of fewer the speed axis alone decides, which grows from nothing.
 LEAST_SCALED = 12
+#: Scales are taken anew while at most this part of a group's pings is put aside; more are its normal scatter, not spikes.
+MOST_ASIDE = 0.1
 
 
 def outside(us, y, x, starts) -> np.ndarray:
     """Phase-space thresholding by group: pings outside the robust ellipsoid of offset, speed and change of velocity.
 
-    Iterated: pings outside are put aside and the axes taken anew from the rest, until no more fall outside.
+    Iterated: pings outside are put aside and the axes taken anew from the rest, until no more fall outside, or so many do
+    that they are the source's normal scatter.
     """
     n = len(us)
     out = np.zeros(n, bool)
@@ -148,7 +151,7 @@ def outside(us, y, x, starts) -> np.ndarray:
             rest = own[:, left]
             axes = np.maximum(np.sqrt(2 * np.log(rest.shape[1])) * 1.4826 * np.median(rest, axis=1), 1e-9)
             still = left & (((own / axes[:, None]) ** 2).sum(axis=0) <= 1)
-            if still.sum() in (left.sum(), 0) or still.sum() < LEAST_SCALED:
+            if still.sum() == left.sum() or still.sum() < (1 - MOST_ASIDE) * (b - a):
                 break
             left = still
         out[i[a:b]] = ~still
