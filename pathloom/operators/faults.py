@@ -185,8 +185,8 @@ def profile(us, y, x, starts, lim: Limits):
     _, _, v = _steps(us, y, x, starts)
     evidence = _evidence(us, y, x, starts, v, outside(us, y, x, starts), lim)
     step = ~starts
-    b = np.where(evidence > 0, 1 + np.floor(np.log(np.maximum(evidence, 1e-3) / 1e-3) * BINS_PER_E), 0).astype(np.int64)
-    key = (group[step] << 16) | np.minimum(b[step], 65535)
+    b = np.where(evidence > 0, np.minimum(1 + np.floor(np.log(np.maximum(evidence, 1e-3) / 1e-3) * BINS_PER_E), 65535), 0).astype(np.int64)  # leaps in no time are in the last
+    key = (group[step] << 16) | b[step]
     o = np.lexsort((v[step], key))
     last = np.r_[key[o][1:] != key[o][:-1], True][: len(o)] if len(o) else np.empty(0, bool)
     return at, total, reps, (key[o][last] >> 16, key[o][last] & 65535, v[step][o][last])
