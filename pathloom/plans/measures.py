@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,14 +30,21 @@ def _pings(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where("uid is not null and lat between -90 and 90 and lng between -180 and 180").select("uid", "datetime", "lat", "lng")
 
 
+def _told(df: DataFrame) -> DataFrame:
+    """Values rounded, positions as they are."""
+    at = [c for c in df.columns if c.startswith(("lat", "lng"))]
+    kept = rounded(df.select(*[c for c in df.columns if c not in at], *[F.struct(c).alias(c) for c in at]), 4)
+    return kept.select(*[F.col(f"{c}.{c}") if c in at else F.col(c) for c in kept.columns])
+
+
 def _over_trajectories(name: str, measure, sql: str | None) -> None:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         return rounded(measure(trajectories(spark, folder)))
 
     if name in _OF_PINGS:
         # sums of great size depend on order in more of their digits
-        QUERIES[f"pings_{name}"] = lambda spark, folder: rounded(measure(_pings(spark, folder)), 4)
-        ORACLE[f"pings_{name}"] = f"WITH {PINGS_SQL}, vis AS (SELECT uid, lat, lng, count(*) AS n, min(datetime) AS first, max(datetime) AS last FROM traj GROUP BY ALL), {_STEPS} {sql}".replace(", 6)", ", 4)")
+        QUERIES[f"pings_{name}"] = lambda spark, folder: _told(measure(_pings(spark, folder)))
+        ORACLE[f"pings_{name}"] = f"WITH {PINGS_SQL}, vis AS (SELECT uid, lat, lng, count(*) AS n, min(datetime) AS first, max(datetime) AS last FROM traj GROUP BY ALL), {_STEPS} " + re.sub(r"round\((lat|lng|la|lo), 6\)", r"\1", sql).replace(", 6)", ", 4)")
 
     QUERIES[name] = query
     if sql:
