@@ -20,7 +20,7 @@ from pathloom.functions.geo import EARTH_RADIUS_KM, haversine_np, unit_vectors
 #: With at most so many places (and ring corners) they are collected and sent to every task; else both sides are partitioned.
 MOST_BROADCAST = 200_000
 #: Rows of points that one task of the partitioned form takes from one leaf.
-LEAF_POINTS = 2_000_000
+LEAF_POINTS = 500_000
 #: Sites from which the splits of the partitioned form are fitted.
 SPLIT_SAMPLE = 100_000
 #: Places of a leaf or stripe, about (before halo copies); there are at least 16 stripes and at most 4,000.
